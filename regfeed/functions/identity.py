@@ -20,5 +20,6 @@ def company_number(stream_path: Column, resource_uri: Column, resource_id: Colum
     """NULL when the URI does not match; empty for feeds that carry no company number."""
     number = F.when(stream_path == "companies", data_number).when(stream_path == "insolvency-cases", resource_id)
     for feed, pattern in URI_PATTERNS.items():
-        number = number.when(stream_path == feed, F.nullif(F.regexp_extract(resource_uri, pattern, 1), F.lit("")))
+        # The first match, or NULL: the URI is named once, which keeps generated code small.
+        number = number.when(stream_path == feed, F.try_element_at(F.regexp_extract_all(resource_uri, F.lit(pattern), F.lit(1)), F.lit(1)))
     return number.otherwise(F.lit(""))

@@ -86,9 +86,14 @@ def read_archive(spark: SparkSession, path: str, schema: str | None = ARCHIVE_SC
     return (reader.schema(schema) if schema else reader).parquet(path)
 
 
+def _column_names(spark: SparkSession, schema: str) -> list[str]:
+    return spark.createDataFrame([], schema).columns
+
+
 def register_lenient(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """Existing files under a table schema: missing columns are NULL, extra columns are left out."""
-    return spark.read.schema(schema).parquet(*paths)
+    """Existing files under a table schema: missing columns are NULL, extra and folder columns are left out."""
+    table = spark.read.schema(schema)
+    return table.parquet(*paths).select(*_column_names(spark, schema))
 
 
 def empty_like(sample: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regfeed import feeds as feed_names
 from regfeed.operators.scan import max_before, running_number
@@ -15,6 +19,12 @@ RESPONSE_CAP = 1_000
 RECENT_RESPONSES = 20
 
 
+@F.pandas_udf(T.StringType())
+def _pretty(texts: pd.Series) -> pd.Series:
+    """JSON text indented by two; used on one event per feed."""
+    return texts.map(lambda t: json.dumps(json.loads(t), indent=2, ensure_ascii=False), na_action="ignore")
+
+
 def event_log(arrivals: DataFrame) -> DataFrame:
     """Log ids ``timepoint-seq``; seq numbers the copies of one timepoint from 0 in arrival order."""
     numbered = running_number(arrivals, ["stream_path", "timepoint"], ["arrival"], "seq")
@@ -42,8 +52,7 @@ def latest_event(log: DataFrame, body: str, ties: tuple[str, ...] = ("event_id",
     picked = newest.groupBy("stream_path").agg(
         F.max("timepoint").alias("timepoint"), F.max_by(body, F.struct(*ties)).alias(body)
     )
-    pretty = F.to_json(F.try_parse_json(F.col(body)), {"pretty": "true"})
-    return picked.withColumn("pretty", pretty)
+    return picked.withColumn("pretty", _pretty(F.col(body)))
 
 
 def newest_responses(responses: DataFrame, n: int = RESPONSE_CAP) -> DataFrame:

@@ -22,8 +22,8 @@ def token(key: Column, seed: str) -> Column:
 
 def company_numbers(events: DataFrame, stream_path: str = POOL_FEED) -> DataFrame:
     """Distinct company numbers seen on the feed."""
-    number = F.col("company_number")
-    return events.where((F.col("stream_path") == stream_path) & number.isNotNull() & (number != "")).select("company_number").distinct()
+    # NULL fails the comparison too.
+    return events.where((F.col("stream_path") == stream_path) & (F.col("company_number") != "")).select("company_number").distinct()
 
 
 def pool(numbers: DataFrame, size: int = POOL_SIZE, seed: str = "") -> DataFrame:
@@ -46,8 +46,7 @@ def first_seen(events: DataFrame) -> DataFrame:
 
     An aggregate rather than a window: copies of one number are reduced before the shuffle.
     """
-    number = F.col("company_number")
-    valid = events.where((F.col("stream_path") == POOL_FEED) & number.isNotNull() & (number != ""))
+    valid = events.where((F.col("stream_path") == POOL_FEED) & (F.col("company_number") != ""))
     return valid.groupBy("company_number").agg(F.min("event_id").alias("event_id"), F.count(F.lit(1)).alias("events"))
 
 

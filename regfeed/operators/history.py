@@ -57,8 +57,7 @@ def latest_event(log: DataFrame, body: str, ties: tuple[str, ...] = ("event_id",
 
 def newest_responses(responses: DataFrame, n: int = RESPONSE_CAP) -> DataFrame:
     """The newest ``n`` records of the response log, one log for all feeds."""
-    one_log = responses.withColumn("_log", F.lit("responses"))
-    return first_rows(one_log, ["_log"], "seq", n).drop("_log")
+    return first_rows(responses, [], "seq", n)
 
 
 def recent_responses(responses: DataFrame, n: int = RECENT_RESPONSES) -> DataFrame:

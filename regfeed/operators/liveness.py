@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from regfeed import feeds as feed_names
 from regfeed.functions.timeutil import delay_minutes, utc_day
 from regfeed.operators.scan import running_total
+from regfeed.operators.topn import rows_at_max
 
 # How long a cursor is kept, and how long a silent feed counts as live.
 CURSOR_DAYS = 7
@@ -16,12 +17,8 @@ HEARTBEAT_SECONDS = 60
 
 def latest_cursor(log: DataFrame, now: Column, feeds: tuple[str, ...] = feed_names.FEEDS, seq: str = "event_id") -> DataFrame:
     """Position of the event written last per feed, if it is younger than the expiry."""
-    written = F.struct(F.col("received"), F.col(seq))
-    latest = (
-        feed_names.known_only(log, feeds)
-        .groupBy("stream_path")
-        .agg(F.max_by("timepoint", written).alias("timepoint"), F.max("received").alias("received"))
-    )
+    last = rows_at_max(feed_names.known_only(log, feeds), ["stream_path"], "received")
+    latest = last.groupBy("stream_path").agg(F.max_by("timepoint", seq).alias("timepoint"), F.max("received").alias("received"))
     return latest.where(F.col("received") >= now - F.expr(f"interval {CURSOR_DAYS} days"))
 
 
@@ -42,8 +39,8 @@ def feed_health(beats: DataFrame, now: Column, feeds: tuple[str, ...] = feed_nam
 def publication_delay(events: DataFrame, seq: str = "event_id") -> DataFrame:
     """Delay of the latest event per feed in minutes, one decimal."""
     delay = delay_minutes(F.col("ts"), F.col("received"))
-    latest = F.max_by(delay, F.struct("received", seq))
-    return events.groupBy("stream_path").agg(F.round(latest, 1).alias("delay_minutes"))
+    last = rows_at_max(events, ["stream_path"], "received")
+    return last.groupBy("stream_path").agg(F.round(F.max_by(delay, seq), 1).alias("delay_minutes"))
 
 
 def connections_current(changes: DataFrame) -> DataFrame:

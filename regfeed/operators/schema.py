@@ -22,17 +22,24 @@ MAX_DEPTH = 10
 _NODE = "array<struct<parent:string,path:string,v:variant>>"
 
 
+# Type names of JSON Schema for the types VARIANT reports; all others are strings.
+TYPE_NAMES = {
+    "VOID": "null",
+    "OBJECT": "object",
+    "ARRAY": "array",
+    "BIGINT": "integer",
+    "DECIMAL": "number",
+    "DOUBLE": "number",
+    "FLOAT": "number",
+    "BOOLEAN": "boolean",
+}
+
+
 def _type_name(v: Column) -> Column:
-    kind = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull() | (kind == "VOID"), "null")
-        .when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind == "BIGINT", "integer")
-        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "number")
-        .when(kind == "BOOLEAN", "boolean")
-        .otherwise("string")
-    )
+    """One look-up on the outer type name, so the variant's schema is worked out once per node."""
+    names = F.create_map(*[F.lit(x) for pair in TYPE_NAMES.items() for x in pair])
+    outer = F.substring_index(F.substring_index(F.coalesce(F.schema_of_variant(v), F.lit("VOID")), "<", 1), "(", 1)
+    return F.coalesce(names[outer], F.lit("string"))
 
 
 def _segment(key: Column) -> Column:

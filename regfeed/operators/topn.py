@@ -18,6 +18,11 @@ ZONE_WIDTH = 65_536
 MAX_LITERAL_GROUPS = 64
 
 
+def literal(value, like: DataFrame, column: str) -> Column:
+    """A collected value as a literal of the column's own type, so that comparing it needs no cast of the column."""
+    return F.lit(str(value)).cast(like.schema[column].dataType)
+
+
 def _cut(df: DataFrame, cuts: DataFrame, group: Sequence[str], position: str, newest: bool) -> DataFrame:
     """Keep rows at or beyond each group's cut position (column ``_cut``)."""
     rows = cuts.limit(MAX_LITERAL_GROUPS + 1).collect()
@@ -29,7 +34,7 @@ def _cut(df: DataFrame, cuts: DataFrame, group: Sequence[str], position: str, ne
         return df.where(F.lit(False))
     clauses = []
     for row in rows:
-        edge = F.lit(row["_cut"])
+        edge = literal(row["_cut"], df, position)
         beyond = F.col(position) >= edge if newest else F.col(position) <= edge
         clauses.append(reduce(Column.__and__, [F.col(g) == F.lit(row[g]) for g in group], beyond))
     return df.where(reduce(Column.__or__, clauses))
@@ -45,27 +50,28 @@ def first_rows(
     zone_width: int = ZONE_WIDTH,
     rank: str = "rank",
 ) -> DataFrame:
-    """The ``n`` newest (or oldest) rows of every group, ranked from 1."""
+    """The ``n`` newest (or oldest) rows of every group, ranked from 1; without a group, of the whole table, unranked."""
     zone = F.floor(F.col(position) / F.lit(zone_width)).cast("bigint")
     zones = df.groupBy(*group, zone.alias("_zone")).agg(F.count(F.lit(1)).alias("_rows"))
     zone_order = F.col("_zone").desc() if newest else F.col("_zone").asc()
+    # One row per zone, so the window is small even where there is no group.
     nearer = Window.partitionBy(*group).orderBy(zone_order).rowsBetween(Window.unboundedPreceding, -1)
     needed = zones.withColumn("_nearer", F.coalesce(F.sum("_rows").over(nearer), F.lit(0))).where(F.col("_nearer") < n)
-    if newest:
-        cuts = needed.groupBy(*group).agg((F.min("_zone") * zone_width).alias("_cut"))
-    else:
-        cuts = needed.groupBy(*group).agg((F.max("_zone") * zone_width + (zone_width - 1)).alias("_cut"))
+    edge = F.min("_zone") * zone_width if newest else F.max("_zone") * zone_width + (zone_width - 1)
+    # Without groups an empty table would give one NULL cut.
+    cuts = needed.groupBy(*group).agg(edge.alias("_cut")).where(F.col("_cut").isNotNull())
     tail = _cut(df, cuts, group, position, newest)
-    columns = [position, *ties]
-    ordered = Window.partitionBy(*group).orderBy(*[F.col(c).desc() if newest else F.col(c).asc() for c in columns])
+    order = [F.col(c).desc() if newest else F.col(c).asc() for c in (position, *ties)]
+    if not group:
+        return tail.orderBy(*order).limit(n)
     # rank <= n on row_number is limited per input partition before its shuffle, ties included.
-    return tail.withColumn(rank, F.row_number().over(ordered)).where(F.col(rank) <= n)
+    return tail.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= n)
 
 
 def rows_at_max(df: DataFrame, group: Sequence[str], position: str) -> DataFrame:
-    """Rows holding their group's greatest position: a narrow aggregate, then a literal filter."""
+    """Rows holding their group's greatest position: a narrow hash aggregate, then a literal filter."""
     peaks = df.groupBy(*group).agg(F.max(position).alias("_cut"))
-    return _cut(df, peaks, group, position, newest=True)
+    return _cut(df, peaks.where(F.col("_cut").isNotNull()), group, position, newest=True)
 
 
 def bottom_k(df: DataFrame, token: Column, k: int, expected_rows: int | None = None, slack: float = 8.0) -> DataFrame:

@@ -230,8 +230,8 @@ join (select max(received) as now from raw_lines) n on true""",
 def feed_health(v):
     # "Now" is the moment of the last sign of life of any feed; one feed is made to have been silent always.
     lines = v("raw_lines")
-    now = lines.agg(F.max("received")).first()[0]
-    return liveness.feed_health(liveness.heartbeats(lines.where(F.col("stream_path") != "charges")), F.lit(now))
+    now = lines.agg(F.max("received").cast("string")).first()[0]
+    return liveness.feed_health(liveness.heartbeats(lines.where(F.col("stream_path") != "charges")), F.lit(now).cast("timestamp_ntz"))
 
 
 @query("connections_current", "select cast(sum(delta) as bigint) as connections from connections", ("connections",))
@@ -276,9 +276,12 @@ def visitors_daily_bounded(v):
 
 @query("visitors_total_merged", "select count(distinct ip) as visitors, true as within_bound from visits", ("visits",))
 def visitors_total_merged(v):
-    merged = visitors.total_merged(visitors.daily_sketches(v("visits"))).select(F.lit(1).alias("one"), F.col("visitors").alias("estimate"))
-    both = visitors.total_exact(v("visits")).withColumn("one", F.lit(1)).join(merged, "one")
-    return both.select("visitors", (F.abs(F.col("estimate") - F.col("visitors")) <= F.greatest(F.lit(1.0), F.col("visitors") * 0.05)).alias("within_bound"))
+    # The two one-row results side by side, by union rather than by a join without a key.
+    merged = visitors.total_merged(visitors.daily_sketches(v("visits"))).select(F.lit(None).cast("bigint").alias("visitors"), F.col("visitors").alias("estimate"))
+    exact = visitors.total_exact(v("visits")).withColumn("estimate", F.lit(None).cast("bigint"))
+    both = exact.unionByName(merged).agg(F.max("visitors").alias("visitors"), F.max("estimate").alias("estimate"))
+    bound = F.greatest(F.lit(1.0), F.col("visitors") * 0.05)
+    return both.select("visitors", (F.abs(F.col("estimate") - F.col("visitors")) <= bound).alias("within_bound"))
 
 
 # --- samples --------------------------------------------------------------------------------------------------------

@@ -226,11 +226,11 @@ def export_readback(v):
     return export.read_archive(v.spark, done.path).select("stream", "resource_kind", "uploaded_day", "timepoint", "published_at", "event_data")
 
 
-@query("export_parts_disjoint", _sql("select 0 as overlaps, count(*) as exported from eligible"), _B)
+@query("export_parts_disjoint", _sql("select cast(0 as bigint) as overlaps, count(*) as exported from eligible"), _B)
 def export_parts_disjoint(v):
     files = _exported(v).files
-    overlaps = export.overlapping_parts(files).agg(F.count(F.lit(1)).cast("int").alias("overlaps"), F.lit(1).alias("one"))
-    return overlaps.join(files.agg(F.sum("events").alias("exported"), F.lit(1).alias("one")), "one").drop("one")
+    marked = files.select("events", F.lit(0).alias("overlap")).unionByName(export.overlapping_parts(files).select(F.lit(0).alias("events"), F.lit(1).alias("overlap")))
+    return marked.agg(F.sum("overlap").alias("overlaps"), F.sum("events").alias("exported"))
 
 
 @query(

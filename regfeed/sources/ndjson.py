@@ -33,14 +33,15 @@ def non_blank(lines: DataFrame, text: str = "line") -> DataFrame:
     return lines.where(F.trim(F.col(text)) != "")
 
 
-def _reject_reason(parsed: Column) -> Column:
-    return F.when(parsed.isNull(), F.lit("syntax")).when(~F.schema_of_variant(parsed).startswith("OBJECT"), F.lit("not_object"))
-
-
 def parsed(lines: DataFrame, text: str = "line") -> DataFrame:
-    """Every non-blank line once, as VARIANT, with ``reject_reason`` set where it is not a JSON object."""
+    """Every non-blank line once, as VARIANT, with ``reject_reason`` set where it is not a JSON object.
+
+    Text that parses and starts with a brace is an object, so the value itself need not be looked into.
+    """
     read = non_blank(lines, text).withColumn("event", F.try_parse_json(F.col(text)))
-    return read.withColumn("reject_reason", _reject_reason(F.col("event")))
+    is_object = F.ltrim(F.col(text), F.lit(" \t\r\n")).startswith("{")
+    reason = F.when(F.col("event").isNull(), F.lit("syntax")).when(~is_object, F.lit("not_object"))
+    return read.withColumn("reject_reason", reason)
 
 
 def split_quarantine(lines: DataFrame, text: str = "line") -> tuple[DataFrame, DataFrame]:

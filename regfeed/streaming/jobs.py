@@ -104,8 +104,8 @@ def cursors(events: DataFrame, spark: SparkSession, checkpoint: str | None = Non
     def save(batch: DataFrame, batch_id: int) -> None:
         before = cells.state_before(tune(batch.sparkSession), batch_id)
         every = feed_names.known_only(batch.select(*columns).union(before))
-        last = F.max_by(F.struct("timepoint", "received", "event_id"), F.struct("received", "event_id")).alias("c")
-        cells.write(every.groupBy("stream_path").agg(last).select("stream_path", "c.*"), batch_id)
+        last = F.max(F.struct("received", "event_id", "timepoint")).alias("c")
+        cells.write(every.groupBy("stream_path").agg(last).select("stream_path", "c.timepoint", "c.received", "c.event_id"), batch_id)
 
     drain(events.writeStream.foreachBatch(save), spark, "cursors", checkpoint)
     return cells.last(spark)

@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 
 def daily(rows: DataFrame) -> DataFrame:
     """Rows, span and day per feed; ``span`` is the row count a complete day would have."""
-    parts = rows.select("stream_path", "timepoint", F.year("day").alias("year"), F.month("day").alias("month"), F.day("day").alias("dom"))
-    sums = parts.groupBy("stream_path", "year", "month", "dom").agg(
-        F.count(F.lit(1)).alias("events"), F.min("timepoint").alias("min_timepoint"), F.max("timepoint").alias("max_timepoint")
-    )
-    return sums.select(
-        "stream_path",
-        F.make_date("year", "month", "dom").alias("day"),
-        "events",
-        "min_timepoint",
-        "max_timepoint",
-        (F.col("max_timepoint") - F.col("min_timepoint") + 1).alias("span"),
+    return _per_day(rows, "day")
+
+
+def daily_from_parts(rows: DataFrame) -> DataFrame:
+    """The same for an archive whose folders give the day as year, month and day of month."""
+    parts = ["year", "month", "day"]
+    return _per_day(rows, *parts).select("stream_path", F.make_date(*parts).alias("day"), "events", "min_timepoint", "max_timepoint", "span")
+
+
+def _per_day(rows: DataFrame, *day: str) -> DataFrame:
+    return (
+        rows.groupBy("stream_path", *day)
+        .agg(F.count(F.lit(1)).alias("events"), F.min("timepoint").alias("min_timepoint"), F.max("timepoint").alias("max_timepoint"))
+        .withColumn("span", F.col("max_timepoint") - F.col("min_timepoint") + 1)
     )
 
 

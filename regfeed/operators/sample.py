@@ -50,6 +50,16 @@ def first_seen(events: DataFrame) -> DataFrame:
     return valid.groupBy("company_number").agg(F.min("event_id").alias("event_id"), F.count(F.lit(1)).alias("events"))
 
 
+def mark_new(events: DataFrame) -> DataFrame:
+    """Whether each event of the pool's feed brought a number not seen before.
+
+    Joined on the event, which is unique, rather than on the number, which may be a busy one.
+    """
+    brought = first_seen(events).select("event_id", F.lit(True).alias("_new"))
+    marked = events.where(F.col("stream_path") == POOL_FEED).join(brought, "event_id", "left")
+    return marked.withColumn("is_new", F.coalesce("_new", F.lit(False))).drop("_new")
+
+
 def sample_rows(df: DataFrame, key: Column, size: int = 1_000, seed: str = "") -> DataFrame:
     """A fixed-size uniform sample of rows; the row count comes from file footers where there is no filter."""
     return bottom_k(df, token(key, seed), size, expected_rows=df.count())

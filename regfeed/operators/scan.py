@@ -23,12 +23,13 @@ CARRY = "_carry"
 def into_buckets(df: DataFrame, group: Sequence[str], order: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Equal-sized, ordered buckets with a stored bucket number.
 
-    The number comes from the physical partition, so it must be written before it is used twice.
+    Without a number, adaptive execution joins neighbouring ranges until buckets have the advisory size; neighbours
+    keep their order. The bucket number comes from the physical partition, so it must be written before it is used
+    twice. Pass narrow rows: the range boundaries come from a sample, which reads the input once more.
     """
-    if buckets is None:
-        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(buckets, *group, *order).withColumn(BUCKET, F.spark_partition_id())
-    return materialise(ranged, "buckets")
+    by = [*group, *order]
+    ranged = df.repartitionByRange(*by) if buckets is None else df.repartitionByRange(buckets, *by)
+    return materialise(ranged.withColumn(BUCKET, F.spark_partition_id()), "buckets")
 
 
 def _with_carry(bucketed: DataFrame, group: Sequence[str], total: Column, merge) -> DataFrame:
@@ -45,10 +46,16 @@ def _within(group: Sequence[str], order: Sequence[str]):
 
 
 def running_total(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, out: str, before: bool = False
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    out: str,
+    before: bool = False,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Running sum of ``value`` in each group; ``before=True`` leaves the current row out."""
-    bucketed = into_buckets(df.withColumn("_value", value.cast("bigint")), group, order)
+    bucketed = into_buckets(df.withColumn("_value", value.cast("bigint")), group, order, buckets)
     last = -1 if before else Window.currentRow
     frame = _within(group, order).rowsBetween(Window.unboundedPreceding, last)
     scanned = _with_carry(bucketed, group, F.sum("_value"), F.sum)
@@ -56,14 +63,16 @@ def running_total(
     return scanned.withColumn(out, total).drop(BUCKET, CARRY, "_value")
 
 
-def running_number(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+def running_number(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str, buckets: int | None = None) -> DataFrame:
     """Row number from 0 in each group."""
-    return running_total(df, group, order, F.lit(1), out, before=True)
+    return running_total(df, group, order, F.lit(1), out, before=True, buckets=buckets)
 
 
-def max_before(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+def max_before(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, out: str, buckets: int | None = None
+) -> DataFrame:
     """Greatest ``value`` among the earlier rows of the group, NULL on the first."""
-    bucketed = into_buckets(df, group, order)
+    bucketed = into_buckets(df, group, order, buckets)
     frame = _within(group, order).rowsBetween(Window.unboundedPreceding, -1)
     scanned = _with_carry(bucketed, group, F.max(value), F.max)
     # greatest() skips NULLs, so a missing carry or an empty frame leaves the other operand.

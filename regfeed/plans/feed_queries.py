@@ -302,6 +302,15 @@ def company_first_seen(v):
     return sample.first_seen(numbered(v))
 
 
+@query(
+    "company_is_new",
+    "select event_id, cn as company_number, event_id = min(event_id) over (partition by cn) as is_new from ev where stream_path = 'companies'",
+    ("ev",),
+)
+def company_is_new(v):
+    return sample.mark_new(numbered(v)).select("event_id", "company_number", "is_new")
+
+
 @query("sample_rows_k", "select event_id, stream_path, md5(cast(event_id as string) || 'seed') as token from ev order by token limit 1000", ("ev",))
 def sample_rows_k(v):
     return sample.sample_rows(v("ev").select("event_id", "stream_path"), F.col("event_id"), 1_000, "seed")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regfeed.feeds import FEEDS
@@ -96,13 +98,18 @@ def ndjson_export_roundtrip(v):
 
 @query(
     "ndjson_infer_ingest",
-    """select k as column_name, count(*) as filled from (select unnest(json_keys(line, '$.data')) as k from event_lines) group by k""",
+    """select resource_kind, k as column_name, count(*) as filled from (select resource_kind, unnest(json_keys(line, '$.data')) as k from event_lines) group by all""",
     ("event_lines",),
 )
 def ndjson_infer_ingest(v):
-    typed = ndjson.infer(v.spark, _as_text_files(v("event_lines"))).select("data.*")
-    filled = typed.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in typed.columns])
-    return filled.unpivot([], typed.columns, "column_name", "filled")
+    root = work_path(v.spark, "kinds")
+    v("event_lines").select("resource_kind", F.col("line").alias("value")).write.partitionBy("resource_kind").text(root)
+    tables = []
+    for kind, typed in ndjson.infer_by_kind(v.spark, root).items():
+        payload = typed.select("data.*")
+        filled = payload.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in payload.columns])
+        tables.append(filled.unpivot([], payload.columns, "column_name", "filled").withColumn("resource_kind", F.lit(kind)))
+    return reduce(DataFrame.unionByName, tables)
 
 
 # --- cursors and buffer ---------------------------------------------------------------------------------------------

@@ -60,8 +60,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/regfeed/{uuid.uuid4().hex}/{name}"
+    """A new, unused path in the shared folder, under the application's own folder so that it can be tidied by it."""
+    return f"{shared_dir(spark)}/regfeed/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -29,11 +29,16 @@ def cut(lines: DataFrame, size: int, order: str = "timepoint", text: str = "line
     return cuts.groupBy("stream_path", "seq").agg(F.expr("listagg(_piece, '') within group (order by _start)").alias("chunk"))
 
 
-def reassemble(chunks: DataFrame) -> DataFrame:
-    """The original lines, numbered from 0 in their feed; the last one need not end in a newline."""
+def reassemble(chunks: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The original lines, numbered from 0 in their feed; the last one need not end in a newline.
+
+    Only newline counts are ordered; the text itself moves once to meet its number and once to its record.
+    """
     newlines = F.length("chunk") - F.length(F.replace(F.col("chunk"), F.lit("\n"), F.lit("")))
-    placed = running_total(chunks, ["stream_path"], ["seq"], newlines, "_first", before=True)
-    pieces = placed.select("stream_path", "seq", "_first", F.posexplode(F.split("chunk", "\n", -1)).alias("_at", "_piece"))
+    marks = chunks.select("stream_path", "seq", newlines.alias("_newlines"))
+    placed = running_total(marks, ["stream_path"], ["seq"], F.col("_newlines"), "_first", before=True, buckets=buckets)
+    numbered_chunks = chunks.join(placed.select("stream_path", "seq", "_first"), ["stream_path", "seq"])
+    pieces = numbered_chunks.select("stream_path", "seq", "_first", F.posexplode(F.split("chunk", "\n", -1)).alias("_at", "_piece"))
     numbered = pieces.where(F.col("_piece") != "").withColumn("line_no", F.col("_first") + F.col("_at"))
     # One record's fragments per group.
     lines = numbered.groupBy("stream_path", "line_no").agg(F.expr("listagg(_piece, '') within group (order by seq)").alias("line"))

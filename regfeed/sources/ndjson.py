@@ -95,6 +95,18 @@ def infer(spark: SparkSession, path: str, sampling_ratio: float = 1.0) -> DataFr
     return spark.read.option("samplingRatio", sampling_ratio).json(path)
 
 
+# Kinds typed in one go. A register has a few dozen; far more means that the column is not a kind.
+MAX_KINDS = 1_000
+
+
+def infer_by_kind(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """A typed table for each kind of a folder of JSON lines under resource_kind=; two kinds never share a type."""
+    kinds = [r[0] for r in spark.read.text(root).select("resource_kind").distinct().limit(MAX_KINDS + 1).collect()]
+    if len(kinds) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} resource kinds under {root}")
+    return {str(kind): infer(spark, f"{root}/resource_kind={kind}") for kind in kinds}
+
+
 def read_all_feeds(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Feeds kept in separate folders as one source with a ``stream_path`` column."""
     frames = [spark.read.text(path).select(F.lit(feed).alias("stream_path"), F.col("value").alias("line")) for feed, path in paths.items()]

@@ -1,8 +1,7 @@
 """Live twins of the batch operators.
 
-Stateless steps and small keyed counts use the streaming engine directly. Steps that order a whole feed run the
-batch operator on each micro-batch and carry one row per feed between batches, because keyed state would put a busy
-feed into one task.
+Ingest is a plain streaming write. The others run the batch operator on each micro-batch and carry a small table (one
+row per feed, day, kind or path) from batch to batch: keyed state would put a busy feed into one task.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from regfeed.session import tune
 from regfeed.sources import ndjson
 from regfeed.streaming.tables import BatchTable, drain
 
-Batch = Callable[[DataFrame, int], None]
+Batch = Callable[[DataFrame], DataFrame]
 
 
 def stamped(lines: DataFrame) -> DataFrame:
@@ -32,31 +31,32 @@ def ingest(lines: DataFrame, path: str, spark: SparkSession, checkpoint: str | N
     drain(writer, spark, "ingest", checkpoint)
 
 
-def _counter(counted: DataFrame, table: BatchTable, spark: SparkSession, checkpoint: str | None) -> None:
-    def save(batch: DataFrame, batch_id: int) -> None:
-        table.write(batch, batch_id)
+def _counter(events: DataFrame, count: Batch, schema_text: str, spark: SparkSession, checkpoint: str | None) -> DataFrame:
+    """Totals so far plus the counts of each micro-batch.
 
-    drain(counted.writeStream.outputMode("update").foreachBatch(save), spark, "counter", checkpoint)
+    The totals are one row per feed and day or kind. They are carried as a small table, since keyed state would be
+    committed for every shuffle partition in every batch.
+    """
+    table = BatchTable(spark, schema_text, "counter")
+    keys = [c for c in table.state_before(spark, 0).columns if c != "events"]
 
+    def save(batch: DataFrame, batch_id: int) -> None:
+        before = table.state_before(tune(batch.sparkSession), batch_id)
+        every = count(batch).select(*keys, "events").union(before)
+        table.write(every.groupBy(*keys).agg(F.sum("events").alias("events")), batch_id)
 
-def _newest(table: BatchTable, spark: SparkSession, keys: list[str]) -> DataFrame:
-    """Last value of every counter."""
-    return table.read(spark).groupBy(*keys).agg(F.max_by("events", "batch_id").alias("events"))
+    drain(events.writeStream.foreachBatch(save), spark, "counter", checkpoint)
+    return table.last(spark)
 
 
 def daily_counters(events: DataFrame, spark: SparkSession, checkpoint: str | None = None) -> DataFrame:
-    """Counts per feed and arrival day. State holds one number per feed and day."""
-    table = BatchTable(spark, "stream_path string, day date, events bigint", "daily")
-    _counter(counts.daily_counts(events), table, spark, checkpoint)
-    return _newest(table, spark, ["stream_path", "day"])
+    """Counts per feed and arrival day."""
+    return _counter(events, counts.daily_counts, "stream_path string, day date, events bigint", spark, checkpoint)
 
 
 def kind_counters(events: DataFrame, spark: SparkSession, checkpoint: str | None = None) -> DataFrame:
     """Counts per feed and kind."""
-    table = BatchTable(spark, "stream_path string, resource_kind string, events bigint", "kinds")
-    counted = events.groupBy("stream_path", "resource_kind").agg(F.count(F.lit(1)).alias("events"))
-    _counter(counted, table, spark, checkpoint)
-    return _newest(table, spark, ["stream_path", "resource_kind"])
+    return _counter(events, counts.kind_counts, "stream_path string, resource_kind string, events bigint", spark, checkpoint)
 
 
 def dedup(events: DataFrame, key: list[str], order: list[str], spark: SparkSession, checkpoint: str | None = None) -> DataFrame:

@@ -31,8 +31,8 @@ def log(spark):
 
 
 def test_running_total_and_max(spark, log):
-    total = {r.arrival: r.total for r in scan.running_total(log, ["stream_path"], ["arrival"], F.col("timepoint"), "total").collect()}
-    highest = {r.arrival: r.highest for r in scan.max_before(log, ["stream_path"], ["arrival"], "timepoint", "highest").collect()}
+    total = {r.arrival: r.total for r in scan.running_total(log, ["stream_path"], ["arrival"], F.col("timepoint"), "total", buckets=8).collect()}
+    highest = {r.arrival: r.highest for r in scan.max_before(log, ["stream_path"], ["arrival"], "timepoint", "highest", buckets=8).collect()}
     sums, tops, want_sum, want_top = {}, {}, {}, {}
     for feed, position, arrival in sorted(skewed(), key=lambda r: r[2]):
         want_top[arrival] = tops.get(feed)
@@ -45,16 +45,19 @@ def test_running_total_and_max(spark, log):
 
 def test_one_group_spans_all_buckets(spark):
     df = spark.range(5000).withColumn("g", F.lit("all"))
-    got = scan.running_total(df, ["g"], ["id"], F.lit(1), "n")
+    got = scan.running_total(df, ["g"], ["id"], F.lit(1), "n", buckets=8)
     assert got.where(F.col("n") != F.col("id") + 1).count() == 0
     assert got.count() == 5000
-    held = scan.into_buckets(df, ["g"], ["id"])
+    held = scan.into_buckets(df, ["g"], ["id"], buckets=8)
     sizes = [r["count"] for r in held.groupBy(scan.BUCKET).count().collect()]
     assert len(sizes) > 4 and max(sizes) < 5000 / 3
 
 
 def test_event_log_numbers_copies_of_a_hot_position(spark, log):
+    numbered = scan.running_number(log, ["stream_path", "timepoint"], ["arrival"], "seq", buckets=8)
+    split = {r.arrival: f"{r.timepoint}-{r.seq}" for r in numbered.collect()}
     got = {r.arrival: r.entry_id for r in history.event_log(log).collect()}
+    assert got == split
     seen, want = {}, {}
     for feed, position, arrival in sorted(skewed(), key=lambda r: r[2]):
         seq = seen.get((feed, position), 0)
@@ -135,7 +138,7 @@ def test_chunk_size_does_not_matter(spark, size):
     lines = spark.createDataFrame(rows, "stream_path string, timepoint bigint, line string")
     pieces = chunks.cut(lines, size)
     assert pieces.where(F.length("chunk") > size).count() == 0
-    got = sorted((r.stream_path, r.line_no, r.line) for r in chunks.reassemble(pieces).collect())
+    got = sorted((r.stream_path, r.line_no, r.line) for r in chunks.reassemble(pieces, buckets=5).collect())
     assert got == sorted(r for r in rows if r[2].strip())
 
 
@@ -183,6 +186,12 @@ def test_audit_branches(spark):
     assert audit.correct_total(days).first().correct_events == 3
 
 
+def test_audit_by_year_month_day(spark):
+    rows = [("companies", p, 2024, 1, d) for p, d in [(1, 1), (2, 1), (3, 2), (5, 2)]]
+    days = audit.daily_from_parts(spark.createDataFrame(rows, "stream_path string, timepoint bigint, year int, month int, day int"))
+    assert {(str(r.day), r.events, r.span) for r in days.collect()} == {("2024-01-01", 2, 2), ("2024-01-02", 2, 3)}
+
+
 def test_audit_ends_on_a_bad_day(spark):
     rows = [("companies", p, dt.date(2024, 1, d)) for p, d in [(1, 1), (2, 1), (3, 2), (5, 2)]]
     days = audit.report(spark.createDataFrame(rows, "stream_path string, timepoint bigint, day date"))

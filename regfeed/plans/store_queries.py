@@ -42,7 +42,8 @@ CHUNK = 97
 
 @query("chunk_reassemble", "select stream_path, timepoint as line_no, line from event_lines", ("event_lines",))
 def chunk_reassemble(v):
-    return chunks.reassemble(chunks.cut(v("event_lines"), CHUNK)).select("stream_path", "line_no", "line")
+    received = materialise(chunks.cut(v("event_lines"), CHUNK), "chunks")
+    return chunks.reassemble(received).select("stream_path", "line_no", "line")
 
 
 @query("parse_good", f"select l.event_id, l.stream_path, l.timepoint, l.resource_kind, strftime(l.received, {STAMP}) as received from event_lines l join raw_lines r on l.event_id = r.event_id where shape = 'ok'", ("event_lines", "raw_lines"))

@@ -6,7 +6,8 @@ row per feed, day, kind or path) from batch to batch: keyed state would put a bu
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +21,27 @@ from regfeed.streaming.tables import BatchTable, drain
 Batch = Callable[[DataFrame], DataFrame]
 
 
+@contextmanager
+def cached(batch: DataFrame) -> Iterator[DataFrame]:
+    """A micro-batch that is used more than once; lost blocks are read again from the source."""
+    held = batch.persist()
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def stamped(lines: DataFrame) -> DataFrame:
     """Lines with their arrival time, taken when the batch starts."""
     return lines if "received" in lines.columns else lines.withColumn("received", F.current_timestamp())
 
 
 def ingest(lines: DataFrame, path: str, spark: SparkSession, checkpoint: str | None = None) -> None:
-    """Lines to the stored form, rejected lines beside the good ones: one pass, one exactly-once file sink."""
-    writer = ndjson.bronze(stamped(lines)).writeStream.format("parquet").option("path", path).outputMode("append")
+    """Lines to the stored form, rejected lines beside the good ones: one pass, one exactly-once file sink.
+
+    A folder per feed, so that reading one feed skips the others.
+    """
+    writer = ndjson.bronze(stamped(lines)).writeStream.format("parquet").option("path", path).partitionBy("stream_path").outputMode("append")
     drain(writer, spark, "ingest", checkpoint)
 
 
@@ -66,8 +80,9 @@ def dedup(events: DataFrame, key: list[str], order: list[str], spark: SparkSessi
 
     def save(batch: DataFrame, batch_id: int) -> None:
         held = table.read(tune(batch.sparkSession), before=batch_id)
-        fresh = buffer.insert_ignore(batch, held, key, order)
-        table.write(fresh.select(*batch.columns), batch_id)
+        with cached(batch) as rows:
+            fresh = buffer.insert_ignore(rows, held, key, order)
+            table.write(fresh.select(*batch.columns), batch_id)
 
     drain(events.writeStream.foreachBatch(save), spark, "dedup", checkpoint)
     return table.read(spark).drop("batch_id")
@@ -87,10 +102,11 @@ def late_rejects(arrivals: DataFrame, spark: SparkSession, checkpoint: str | Non
     def save(batch: DataFrame, batch_id: int) -> None:
         session = tune(batch.sparkSession)
         before = held.state_before(session, batch_id)
-        flagged = history.late_flags(batch, before)
-        out.write(flagged.select("stream_path", "timepoint", "arrival", "accepted"), batch_id)
-        highest = batch.select("stream_path", "timepoint").union(before).groupBy("stream_path").agg(F.max("timepoint").alias("timepoint"))
-        held.write(highest, batch_id)
+        with cached(batch) as rows:
+            flagged = history.late_flags(rows, before)
+            out.write(flagged.select("stream_path", "timepoint", "arrival", "accepted"), batch_id)
+            every = rows.select("stream_path", "timepoint").union(before)
+            held.write(every.groupBy("stream_path").agg(F.max("timepoint").alias("timepoint")), batch_id)
 
     drain(arrivals.writeStream.foreachBatch(save), spark, "late", checkpoint)
     return out.read(spark).drop("batch_id")
@@ -129,17 +145,14 @@ class FanOut:
 
     def save(self, batch: DataFrame, batch_id: int) -> None:
         session = tune(batch.sparkSession)
-        cached = batch.persist()
-        try:
+        with cached(batch) as rows:
             if "topics" in self.parts:
-                self.topics.write(history.topic_messages(cached, "line").select("topic", "value"), batch_id)
+                self.topics.write(history.topic_messages(rows, "line").select("topic", "value"), batch_id)
             if "pool" in self.parts:
-                merged = sample.merge_pools(self.pool.state_before(session, batch_id), sample.company_numbers(cached), self.pool_size)
+                merged = sample.merge_pools(self.pool.state_before(session, batch_id), sample.company_numbers(rows), self.pool_size)
                 self.pool.write(merged.select("company_number"), batch_id)
             if "schema" in self.parts:
-                self.schemas.write(schema.type_counts(cached), batch_id)
-        finally:
-            cached.unpersist()
+                self.schemas.write(schema.type_counts(rows), batch_id)
 
     def run(self, events: DataFrame, checkpoint: str | None = None) -> FanOut:
         drain(events.writeStream.foreachBatch(self.save), self.spark, "fanout", checkpoint)

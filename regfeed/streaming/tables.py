@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regfeed.session import work_path
+from regfeed.session import materialise, work_path
 
 
 class BatchTable:
@@ -57,6 +57,7 @@ def stage(df: DataFrame, order: str, slices: int = 4, files: int = 4) -> str:
     """
     spark = df.sparkSession
     path = work_path(spark, "staged")
+    df = materialise(df, "unstaged")
     low, high = df.agg(F.min(order), F.max(order)).first()
     step = (high - low) // slices + 1
     for i in range(slices):

@@ -31,7 +31,8 @@ def distinct_kinds(events: DataFrame) -> DataFrame:
 
 def daily_series(counts: DataFrame) -> DataFrame:
     """Counts in day order, with the position of each day in its feed."""
-    return counts.withColumn("position", F.row_number().over(Window.partitionBy("stream_path").orderBy("day")))
+    in_order = Window.partitionBy("stream_path").orderBy("day")
+    return counts.withColumn("position", F.row_number().over(in_order).cast("bigint"))
 
 
 def daily_count_json(counts: DataFrame) -> DataFrame:

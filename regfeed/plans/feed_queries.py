@@ -148,7 +148,7 @@ def recent_responses(v):
     ("ev",),
 )
 def history_latest_n(v):
-    return history.history(v("ev"), 100).select("stream_path", "rank", "timepoint", "event_id")
+    return history.history(v("ev"), 100).select("stream_path", F.col("rank").cast("bigint"), "timepoint", "event_id")
 
 
 @query(

@@ -140,7 +140,7 @@ def resume_from_cursor(v):
 )
 def incremental_batch(v):
     stored = v("ev").where((F.col("ts") < F.expr(HALF)) & (F.col("stream_path") != "officers"))
-    return cursors.next_batch(v("ev"), stored).select("stream_path", "timepoint", "rank")
+    return cursors.next_batch(v("ev"), stored).select("stream_path", "timepoint", F.col("rank").cast("bigint"))
 
 
 DUP_ORDER = ["timepoint", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "ts"]

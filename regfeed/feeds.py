@@ -25,7 +25,7 @@ LOG_KEY_PREFIX = "events"
 def require_feed(stream_path: str) -> str:
     """Return the feed name, or raise naming the valid ones."""
     if stream_path not in FEEDS:
-        raise ValueError(f"Invalid stream path: {stream_path}. Possible options: {', '.join(FEEDS)}")
+        raise ValueError(f"no feed named {stream_path!r}; the feeds are {', '.join(FEEDS)}")
     return stream_path
 
 

@@ -175,5 +175,5 @@ def json_schemas(profiles: DataFrame, resource_kind: str | None = None) -> DataF
     if resource_kind is not None:
         chosen = profiles.where(F.col("resource_kind") == resource_kind)
         if chosen.isEmpty():
-            raise ValueError("resource_kind not found. Try listing resource_kinds first.")
+            raise ValueError(f"no schema is stored for resource kind {resource_kind!r}")
     return chosen.groupBy("resource_kind").applyInPandas(_schema_text, "resource_kind string, schema string")

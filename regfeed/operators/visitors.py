@@ -13,7 +13,7 @@ FIRST_DAY = dt.date(2023, 9, 12)
 
 def require_day(day: dt.date) -> dt.date:
     if day < FIRST_DAY:
-        raise ValueError(f"Records only began on {FIRST_DAY.isoformat()}. Request a date after that")
+        raise ValueError(f"visitors are counted from {FIRST_DAY.isoformat()} on, not on {day.isoformat()}")
     return day
 
 

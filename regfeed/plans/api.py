@@ -48,7 +48,7 @@ class FeedService:
         # The rule is the one used on request tables; a single request is one row.
         row = counts.history_requests(spark.createDataFrame([(asked,)], "qty string")).first()
         if not row.accepted:
-            raise ValueError(f"Qty must be between 1 and {counts.HISTORY_MAX}. Received: {row.quantity}")
+            raise ValueError(f"a history holds 1 to {counts.HISTORY_MAX} events, not {row.quantity}")
         return history.history(self.events, row.quantity, stream_path, self.ties).select("rank", "timepoint", self.body)
 
     def latest_sample_event(self, stream_path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +11,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regfeed.session import work_path
+import regfeed
+from regfeed.session import tune, work_path
 
 # Text that one step inside a Python worker handles at a time; its arrays take about twenty times that.
 STEP_BYTES = 8 << 20
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings, and this package on the path of Python workers that share the driver's folders.
+
+    Executors elsewhere need the package installed or sent with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(regfeed.__file__)))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+    return tune(spark)
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Written once to the shared folder and read back: lineage ends here, and a lost executor costs no recomputation."""
     path = work_path(df.sparkSession, name)

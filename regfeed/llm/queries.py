@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regfeed.llm import histogram_pack, huffman_ids, overlap_tokens
-from regfeed.llm.common import read
-from regfeed.session import tune
+from regfeed.llm import histogram_pack, huffman_ids, hyperplane_dedup, overlap_tokens, t_occurrence
+from regfeed.llm.common import prepare, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +17,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def register(build: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(tune(spark), sf_dir)
+            return build(prepare(spark), sf_dir)
 
         QUERIES[name] = run
         if sql is not None:
@@ -41,3 +40,13 @@ def op8(spark, sf_dir):
 @query("op10_histogram_pack")
 def op10(spark, sf_dir):
     return histogram_pack.pack_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op5_hyperplane_dedup")
+def op5(spark, sf_dir):
+    return hyperplane_dedup.near_copies(read(spark, sf_dir, "embeddings"))
+
+
+@query("op9_t_occurrence")
+def op9(spark, sf_dir):
+    return t_occurrence.jaccard_groups(read(spark, sf_dir, "documents"), width=4, percent=85)

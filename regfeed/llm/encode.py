@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from operator import attrgetter
 
 import numpy as np
 import public_tokenizers
@@ -30,9 +31,11 @@ BLANK_PRETOKENIZER = {
     "invert": True,
 }
 
-# Letters that NFC leaves alone and whose lower case is one letter: ASCII and Latin-1.
-PLAIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+# Letters that NFC leaves alone and whose lower case is one letter: ASCII and Latin-1. A run of marks after them is one
+# piece of its own; marks that begin a contraction or occur in added tokens are left to the library.
+PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*.,:;?]*)")
 LONGEST_KEPT = 48
+ID = attrgetter("id")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -72,10 +75,10 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.letters = byte_letters()
-        self.ends = {c: self._plain_ids(c) for c in ".,"} if self.by_word else {}
+        self.ends: dict[str, bytes] = {}
 
     def _plain_ids(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+        return array("I", map(ID, self.tokenizer.model.tokenize(piece))).tobytes()
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of each word as bytes; two generations of the cache keep memory bounded and recent words at hand."""
@@ -100,6 +103,8 @@ class Encoder:
                 else:
                     ids = self._plain_ids(core.translate(letters))
                 if end:
+                    if end not in ends:
+                        ends[end] = self._plain_ids(end)
                     ids += ends[end]
             out[i] = young[word] = ids
         if hard:
@@ -111,7 +116,7 @@ class Encoder:
 
     def _distinct(self, texts: pa.Array):
         words = Words(texts)
-        ids = self._words(words.distinct.to_pylist())
+        ids = self._words(words.distinct.to_numpy(zero_copy_only=False).tolist())
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         return words, ids, lengths
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regfeed.llm import histogram_pack, huffman_ids, hyperplane_dedup, overlap_tokens, t_occurrence
+from regfeed.llm import curriculum, histogram_pack, huffman_ids, hyperplane_dedup, line_rules, nbsvm, overlap_tokens, t_occurrence
 from regfeed.llm.common import prepare, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,48 @@ def op5(spark, sf_dir):
 @query("op9_t_occurrence")
 def op9(spark, sf_dir):
     return t_occurrence.jaccard_groups(read(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+@query("op3_line_rules")
+def op3(spark, sf_dir):
+    docs = line_rules.line_first(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.drop("text")
+
+
+@query("op7_nbsvm")
+def op7(spark, sf_dir):
+    return nbsvm.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query(
+    "op6_curriculum_mix",
+    """with sized as (
+  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size,
+    md5(coalesce(cast(doc_id as varchar), '')) as token
+  from documents
+), sums as (
+  select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as place from sized group by source
+), weighed as (
+  select *, [3.0, 1.0, 2.0][1 + place % 3]::double as weight, (source_size * 2)::double as cap from sums
+), leveled as (
+  select *, (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over before, 0)) / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as level
+  from weighed window before as (order by cap / weight, place rows between unbounded preceding and 1 preceding)
+), targets as (
+  select *, case when cap <= level * weight then cap
+    else (select arg_min(level, cap / weight) from leveled where cap > level * weight) * weight end as target
+  from leveled
+), stream as (
+  select doc_id, size, source_size, target,
+    coalesce(sum(size) over (partition by s.source order by token, doc_id, size rows between unbounded preceding and 1 preceding), 0) + size / 2.0::double as middle
+  from sized s join targets t on s.source is not distinct from t.source
+)
+select doc_id, size, source_size, target,
+  cast(case when source_size > 0 then greatest(ceil((target - middle) / source_size), 0) else 0 end as bigint) * size as taken
+from stream""",
+)
+def op6(spark, sf_dir):
+    mixed = curriculum.curriculum(read(spark, sf_dir, "documents"))
+    first = F.coalesce(F.get("positions", F.lit(0)), F.lit(1.0))
+    # In training order; documents that are not taken follow.
+    digest = mixed.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size")).cast("long").alias("taken"), first.alias("_first"))
+    return digest.orderBy("_first", "doc_id").drop("_first")

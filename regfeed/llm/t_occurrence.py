@@ -48,10 +48,10 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
 
     A text of fewer words than ``width`` has its whole sequence as one shingle; one without words has none.
     """
-    words = Words(pc.ascii_lower(cast_array(texts, pa.large_string())))
+    words = Words(texts)
     if not len(words.index):
         return [np.zeros(0, np.uint64)] * len(words)
-    hashed = pd.util.hash_array(words.distinct.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    hashed = pd.util.hash_array(pc.ascii_lower(words.distinct).to_numpy(zero_copy_only=False).astype(object), categorize=False)
     each = hashed[words.index]
     count = max(0, len(each) - width + 1)
     rolled = np.zeros(count, np.uint64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regfeed.llm import curriculum, histogram_pack, huffman_ids, hyperplane_dedup, line_rules, nbsvm, overlap_tokens, t_occurrence
+from regfeed.llm import curriculum, histogram_pack, huffman_ids, hyperplane_dedup, license_scan, line_rules, nbsvm, overlap_tokens, quote_links, t_occurrence
 from regfeed.llm.common import prepare, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,76 @@ def op6(spark, sf_dir):
     # In training order; documents that are not taken follow.
     digest = mixed.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size")).cast("long").alias("taken"), first.alias("_first"))
     return digest.orderBy("_first", "doc_id").drop("_first")
+
+
+@query(
+    "op1_quote_links",
+    r"""with recursive given as (
+  select *, row_number() over () as uid from (select cast(conv_id as bigint) as conv_id, cast(turn as bigint) as turn, role, text from conversations)
+), raw as (
+  select uid, conv_id, turn, unnest(range(len(parts))) as line, unnest(parts) as raw
+  from (select *, string_split(coalesce(text, ''), chr(10)) as parts from given)
+), lines as (
+  select uid, conv_id, turn, line, regexp_extract(raw, '^[ \t]*(?:>[ \t]?)*') as mark,
+    case when regexp_matches(raw, '^[ \t]*>') then length(mark) - length(replace(mark, '>', '')) else 0 end as level,
+    case when level > 0 then substr(raw, length(mark) + 1) else raw end as words,
+    trim(regexp_replace(lower(words), '\s+', ' ', 'g'), ' ') as norm
+  from raw
+), marked as (
+  select *, case when lag(level) over m = level and lag(norm) over m <> '' then 0 else 1 end as starts,
+    coalesce(lead(level) over m, 0) as next_level
+  from lines window m as (partition by uid order by line)
+), runs as (
+  select *, sum(starts) over (partition by uid order by line) as run from marked
+), passages as (
+  select uid, conv_id, turn, level, string_agg(norm, ' ' order by line) as passage from runs where norm <> '' group by uid, conv_id, turn, level, run
+), firsts as (
+  select conv_id, passage, min(turn) as original from (
+    select conv_id, turn, passage from passages where level = 0 union all select conv_id, turn, norm from lines where level = 0 and norm <> '')
+  where conv_id is not null and turn is not null group by conv_id, passage
+), linked as (
+  select p.*, case when f.original < p.turn then f.original end as original
+  from passages p left join firsts f using (conv_id, passage) where p.level > 0
+), figures as (
+  select uid, count(*) as n_quoted, count(original) as n_linked, max(level) as deepest from linked group by uid
+), parents as (
+  select conv_id, turn, min(parent) as reply_to from (
+    select uid, conv_id, turn, arg_max(original, {'a': -level, 'b': original}) as parent from linked where original is not null group by uid, conv_id, turn)
+  group by conv_id, turn
+), climbed as (
+  select conv_id, turn, reply_to as top, 1 as steps from parents
+  union all
+  select c.conv_id, c.turn, p.reply_to, c.steps + 1 from climbed c join parents p on c.conv_id = p.conv_id and c.top = p.turn
+), chains as (
+  select conv_id, turn, arg_max(top, steps) as top, max(steps) as steps from climbed group by conv_id, turn
+), bodies as (
+  select uid, trim(string_agg(words, chr(10) order by line), ' ' || chr(9) || chr(13) || chr(10)) as body from marked
+  where level = 0 and not (next_level > 0 and regexp_matches(words, '(?i)^\s*(on\b.*|.*\S) wrote:\s*$')) group by uid
+)
+select g.conv_id, g.turn, g.role, md5(coalesce(b.body, '')) as body_md5, coalesce(n_quoted, 0) as n_quoted, coalesce(n_linked, 0) as n_linked,
+  coalesce(deepest, 0) as deepest, p.reply_to, coalesce(c.top, g.turn) as thread, coalesce(c.steps, 0) as depth,
+  row_number() over (partition by g.conv_id order by coalesce(c.top, g.turn) nulls first, coalesce(c.steps, 0), g.turn nulls first, uid) - 1 as position
+from given g left join bodies b using (uid) left join figures f using (uid) left join parents p on g.conv_id = p.conv_id and g.turn = p.turn
+  left join chains c on g.conv_id = c.conv_id and g.turn = c.turn""",
+)
+def op1(spark, sf_dir):
+    ordered = quote_links.reply_order(read(spark, sf_dir, "conversations"))
+    body = F.md5(F.col("body").cast("binary")).alias("body_md5")
+    return ordered.select("conv_id", "turn", "role", body, "n_quoted", "n_linked", "deepest", "reply_to", "thread", "depth", "position")
+
+
+# Documents as files: source / language / file. One that closes with a licence line stands for the licence file of its folder,
+# which is the whole source for English ones.
+FILES = """select doc_id, text, case
+  when regexp_like(substring_index(trim(trailing '\\n' from text), '\\n', -1), '(?i)licen[cs]ed? ') then concat_ws('/', source, case when lang = 'en' then null else lang end, concat('LICENSE.', doc_id))
+  else concat_ws('/', source, lang, concat(doc_id, '.txt')) end as path
+from {documents}"""
+
+
+def licence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(FILES, documents=read(spark, sf_dir, "documents"))
+
+
+@query("op4_license_scan")
+def op4(spark, sf_dir):
+    return license_scan.scan(licence_files(spark, sf_dir)).select("doc_id", "path", "licence", "inherited_from")

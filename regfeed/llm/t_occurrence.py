@@ -10,8 +10,11 @@ On Spark this happens in three steps:
 1. Every document becomes a set of 64-bit shingle hashes. Equal sets are one class (128-bit signature) from then on.
    The most frequent shingles are counted (a fixed number of them; they fix the order of the lists and nothing else).
 2. Rarest first, a class is entered under the shingles of which one at least must be shared with any partner:
-   n - ceil(percent * n / 100) + 1 of them. Lists with one class only are dropped; the others tie their members
-   together, and connected members form a search group. Linked classes are always in one group.
+   n - ceil(percent * n / 100) + 1 of them. Lists with one class only are dropped. Two classes of a list are tied if their
+   sizes allow a link and their marks do: a mark has a byte for every few shingles, the exclusive or of the hashes in one range,
+   so each shingle that only one of them has changes one byte at most, and marks that differ in more bytes than a link
+   leaves shingles to differ rule it out for certain. Tied classes, followed to the end, form a search group; linked classes are
+   always in one. Short lists are paired off by a join (15 / 2 pairs for an entry at most), long ones are compared in blocks.
 3. A group is searched as a whole, with inverted lists over all its shingles. Small groups share a task; a large one is cut into
    blocks and each pair of blocks is a task, whatever the group's size. Tasks return counts and spanning trees, never pairs.
 
@@ -37,7 +40,9 @@ from regfeed.session import broadcast_if_small
 # Shingles whose frequency is known when lists are ordered.
 FREQUENT = 200_000
 # A batch reports a shingle that it has this often.
-OFTEN = 4
+OFTEN = 3
+# Classes of a list that is paired off by a join; entries of a block of a longer one.
+SHORT_LIST, BLOCK_ENTRIES = 16, 1_024
 # Shingles of a block; a task holds two blocks.
 BLOCK_SHINGLES = 400_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -86,8 +91,45 @@ def least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
+def mark(shingles: np.ndarray) -> np.ndarray:
+    """A byte for each of the hash ranges, of which there are a power of two, a fifth to two fifths of the set's size (8 at least)."""
+    parts = 1 << max(3, int(np.ceil(np.log2(max(1.0, len(shingles) * 0.2)))))
+    out = np.zeros(parts, np.uint8)
+    if len(shingles):
+        place = (shingles >> np.uint64(65 - parts.bit_length())).astype(np.int64)
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
+        out[place[starts]] = np.bitwise_xor.reduceat((shingles & np.uint64(0xFF)).astype(np.uint8) | np.uint8(1), starts)
+    return out
+
+
+def most_apart(m, n, percent: int):
+    """Shingles that only one of two linked sets of sizes ``m`` and ``n`` has, at most."""
+    return m + n - 2 * -(-percent * (m + n) // (100 + percent))
+
+
+def may_link(marks: list[np.ndarray], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i > j) that sizes and marks do not rule out."""
+    left, right = [], []
+    parts = np.array([len(x) for x in marks])
+    for level in np.unique(parts).tolist():
+        own, finer = np.flatnonzero(parts == level), np.flatnonzero(parts > level)
+        rows = np.concatenate([own, finer])
+        table = np.stack([np.bitwise_xor.reduce(marks[k].reshape(level, -1), axis=1) for k in rows])
+        chunk = max(1, (4 << 20) // (len(rows) * level))
+        for a in range(0, len(own), chunk):
+            apart = (table[a : min(a + chunk, len(own)), None, :] != table[None, :, :]).sum(2)
+            m, n = sizes[own[a : a + chunk]][:, None], sizes[rows][None, :]
+            fits = (apart <= most_apart(m, n, percent)) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
+            # Pairs within the level are met from both sides, pairs with finer ones from this side only.
+            fits &= (np.arange(len(rows))[None, :] >= len(own)) | (np.arange(len(rows))[None, :] < np.arange(a, a + len(m))[:, None])
+            x, y = np.nonzero(fits)
+            left.append(own[a + x])
+            right.append(rows[y])
+    return np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
+
+
 def _describe(width: int):
-    """Per document: size and signature; besides, shingles that many documents of a batch have."""
+    """Per document: size, signature and mark; besides, shingles that many documents of a batch have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
@@ -100,8 +142,9 @@ def _describe(width: int):
             nothing = [None] * len(rows)
             columns = [cast_array(batch.column("doc_id"), pa.int64()).to_pylist() + none, n, cls, check]
             columns += [nothing + found.tolist(), nothing + seen.tolist()]
-            names = ["doc_id", "n", "cls", "chk", "shingle", "seen"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+            names = ["doc_id", "n", "cls", "chk", "shingle", "seen", "mark"]
+            marks = pa.array([mark(s).tobytes() for s in sets] + none, pa.binary())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), marks], names)
 
     return run
 
@@ -139,6 +182,65 @@ def _entries(width: int, percent: int, frequent: np.ndarray):
     return run
 
 
+def _pair_fits(percent: int):
+    """Of the pairs of short lists, those that marks do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "n2"))
+            kept = []
+            for x, y in zip(batch.column("mark").to_pylist(), batch.column("mark2").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                parts = min(len(x), len(y))
+                kept.append(np.count_nonzero(np.bitwise_xor.reduce(x.reshape(parts, -1), axis=1) != np.bitwise_xor.reduce(y.reshape(parts, -1), axis=1)))
+            fits = pa.array(np.array(kept, np.int64) <= most_apart(m, n, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(fits) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def _list_ties(percent: int):
+    """Spanning trees of the pairs of long lists that sizes and marks do not rule out."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in rows.groupby(["shingle", "low", "high"], sort=False):
+            ids = part["cls"].to_numpy()
+            x, y = may_link([np.frombuffer(b, np.uint8) for b in part["mark"]], part["n"].to_numpy(), percent)
+            forest = Forest(len(ids))
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                forest.union(i, j)
+            out.append(pd.DataFrame({"a": ids, "b": ids[[forest.find(k) for k in range(len(ids))]]}))
+        every = pd.concat(out)
+        return every[every["a"] != every["b"]]
+
+    return run
+
+
+def _ties(entries: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: classes tied directly, or by a tree of direct ties. ``marks``: ``cls, n, mark``, one row per class."""
+    shared = entries.groupBy("shingle").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least != most")
+    met = stored(entries.join(shared.select("shingle"), "shingle").distinct().join(marks.select("cls", "n"), "cls"), "met")
+    sizes = met.groupBy("shingle").agg(F.count("*").alias("size"))
+    sized = stored(met.join(sizes, "shingle"), "lists")
+    short = sized.where(F.col("size") <= SHORT_LIST)
+    other = short.select("shingle", F.col("cls").alias("b"), F.col("n").alias("n2"))
+    near = (F.col("cls") < F.col("b")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    pairs = short.join(other, "shingle").where(near).select(F.col("cls").alias("a"), "b", "n", "n2").distinct()
+    one = marks.select(F.col("cls").alias("a"), "mark")
+    two = marks.select(F.col("cls").alias("b"), F.col("mark").alias("mark2"))
+    paired = pairs.join(one, "a").join(two, "b").select("a", "b", "n", "n2", "mark", "mark2").mapInArrow(_pair_fits(percent), "a long, b long")
+
+    long = sized.where(F.col("size") > SHORT_LIST).withColumn("blocks", F.ceil(F.col("size") / BLOCK_ENTRIES).cast("long"))
+    long = long.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    long = long.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    long = long.select("shingle", "cls", "n", "blocks", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    cells = max(1, -(-long.count() // (16 * BLOCK_ENTRIES)))
+    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("shingle"), F.lit(cells))).otherwise(F.xxhash64("shingle", "low", "high"))
+    listed = long.join(marks.select("cls", "mark"), "cls").withColumn("cell", cell)
+    return paired.unionByName(listed.groupBy("cell").applyInPandas(_list_ties(percent), "a long, b long"))
+
+
 def _with_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
@@ -223,9 +325,10 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     ``doc_id`` stays with component NULL and no links. Other columns are ignored; an empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kinds = "doc_id long, n long, cls long, chk long, shingle long, seen long"
+    kinds = "doc_id long, n long, cls long, chk long, shingle long, seen long, mark binary"
     told = stored(texts.mapInArrow(_describe(width), kinds), "described")
-    sizes = told.where("n is not null").select("doc_id", "n", "cls", "chk")
+    marked = told.where("n is not null")
+    sizes = marked.select("doc_id", "n", "cls", "chk")
     seen = told.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen"))
     top = seen.orderBy(F.desc("seen"), "shingle").limit(FREQUENT).toPandas()
     frequent = top["shingle"].to_numpy(np.int64)[::-1].view(np.uint64).copy() if len(top) else np.zeros(0, np.uint64)
@@ -234,9 +337,10 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     classes = stored(classes.agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies")), "classes")
 
     entries = stored(texts.where("doc_id is not null").mapInArrow(_entries(width, percent, frequent), "shingle long, cls long"), "entries")
-    lists = entries.groupBy("shingle").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least != most")
-    ties = entries.join(lists.select("shingle", "least"), "shingle").where("cls != least").select("cls", "least").distinct()
-    tied = components(ties, "cls", "least")
+    # Two classes with equal 64 bits would share a mark here and be told apart by their sets later on.
+    marks = marked.join(classes.select(F.col("rep").alias("doc_id"), "cls", "chk"), ["doc_id", "cls", "chk"]).dropDuplicates(["cls"])
+    marks = stored(marks.select("cls", "n", "mark"), "marks")
+    tied = components(_ties(entries, marks, percent), "a", "b")
     tied = tied.unionByName(tied.select(F.col("component").alias("id"), "component").distinct())
     members = classes.join(tied, F.col("cls") == F.col("id")).select("rep", "n", "copies", F.col("component").alias("grp"))
     groups = members.groupBy("grp").agg(F.sum("n").alias("total"))

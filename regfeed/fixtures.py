@@ -27,7 +27,7 @@ _FILING = """'{' || case when event_id % 5 = 0 then '' else '"category":"' || ca
     || '","description_values":{' || case when event_id % 4 = 1 then '"description":"Old form ' || cast(user_id as string) || '",' else '' end
     || '"k":"' || cast(user_id as string) || '","value":"{k}"},"pages":' || case when event_id % 7 = 0 then '2.5' else '2' end || late || '}'"""
 _OFFICER = """'{"name":"SMITH, JOHN ' || cast(user_id as string) || '","officer_role":"director","appointed_on":"2020-01-02"'
-    || case when event_id % 2 = 1 then ',"resigned_on":"2024-01-03"' else '' end
+    || case when event_id % 2 = 1 then ',"resigned_on":"2024-01-03"' when event_id % 20 = 2 then ',"resigned_on":null' else '' end
     || ',"date_of_birth":{"month":' || cast(1 + user_id % 12 as string) || ',"year":1970},"address":{"locality":"Norwich"}' || late || '}'"""
 _PSC = """'{"name":"Ms Ann ' || cast(user_id as string) || '","natures_of_control":["ownership-of-shares-25-to-50-percent","voting-rights"],"notified_on":"2021-05-06"'
     || case when event_id % 2 = 1 then ',"ceased_on":"2024-02-03"' else '' end || late || '}'"""
@@ -84,7 +84,7 @@ union all select stream_path, timepoint, event_id * 2 + 181 as arrival from ev w
   when event_id % 107 = 0 then 'array' when event_id % 109 = 0 then 'null' else 'ok' end as shape from ev""",
     "responses": """select event_id as seq, stream_path, ts, case when event_id % 2 = 0 then 'response_started' else 'response_ended' end as type,
   case when event_id % 2 = 0 then props end as headers from ev""",
-    "connections": """select event_id, ts, case when resource_kind = 'signup' then 1 else -1 end as delta from ev where resource_kind in ('signup','error')""",
+    "connections": """select event_id, ts, case resource_kind when 'signup' then 1 when 'error' then -1 when 'purchase' then 2 when 'click' then -2 else 0 end as delta from ev""",
     "visits": """select case when event_id % 211 = 0 then null else cast(user_id as string) end as ip, cast(ts as date) as day from ev""",
     "dictionary": """select * from (values ('click','clicked item {k}'),('view','viewed item {k} for {value}'),('purchase','bought {k} {missing}')) as t(code, template)""",
     # A field that only appears late in the feed, so that schemas drift.
@@ -115,6 +115,7 @@ union all select stream_path, timepoint, ts, resource_kind,
   '{"resource_kind":"' || resource_kind || '","event":{"timepoint":' || cast(timepoint as string) || '},"data":{"company_number":"' || cn || '"}}' from orders_feed""",
     # Published timestamps in the three written forms, plus junk and a negative zone.
     "published_raw": """select event_id, ts, case when event_id % 97 = 0 then 'junk' when event_id % 89 = 0 then replace(cast(ts as string), ' ', 'T') || '-05:00'
+  when event_id % 83 = 0 then cast(cast(ts as date) as string) when event_id % 79 = 0 then cast(ts as string)
   when event_id % 3 = 0 then replace(cast(ts as string), ' ', 'T') when event_id % 3 = 1 then replace(cast(ts as string), ' ', 'T') || 'Z'
   else replace(cast(ts as string), ' ', 'T') || '+01:00' end as published_raw from ev""",
     # History requests as typed by callers.

@@ -17,6 +17,9 @@ from regfeed.session import broadcast_if_small
 STATEMENT_TEXT = "PSC statement descriptions not yet developed"
 EXEMPTION_TEXT = "Company exemptions descriptions not yet developed"
 NO_DESCRIPTION = "No description available"
+# Words around dates and names.
+RESIGNED, APPOINTED, CEASED, NOTIFIED = "Resigned on ", "Appointed on ", "Ceased on ", "Notified on "
+DISQUALIFIED, INSOLVENCY, FILING, NEW = "Disqualified from ", "Insolvency", " filing", "New"
 
 
 def _text(path: str) -> Column:
@@ -37,13 +40,13 @@ def _texts(path: str, inner: str) -> Column:
 def _disqualified_from() -> Column:
     items = F.try_variant_get(F.col("data"), "$.disqualifications", "array<variant>")
     names = F.flatten(F.transform(items, lambda d: F.try_variant_get(d, "$.company_names", "array<string>")))
-    return F.concat(F.lit("Disqualified from "), F.coalesce(F.array_join(names, ", "), F.lit("")))
+    return F.concat(F.lit(DISQUALIFIED), F.coalesce(F.array_join(names, ", "), F.lit("")))
 
 
 def _dated(key: str, ended: str, other_key: str, started: str) -> Column:
-    return F.when(_present(f"$.{key}"), F.concat(F.lit(ended), _text(f"$.{key}"))).otherwise(
-        F.concat(F.lit(started), _text(f"$.{other_key}"))
-    )
+    """A key that is there counts, even with JSON null, which readers see as ``null``; one that is not is ``undefined``."""
+    value = lambda k: F.coalesce(_text(f"$.{k}"), F.when(_present(f"$.{k}"), "null"), F.lit("undefined"))
+    return F.when(_present(f"$.{key}"), F.concat(F.lit(ended), value(key))).otherwise(F.concat(F.lit(started), value(other_key)))
 
 
 def title(feed: Column) -> Column:
@@ -51,11 +54,11 @@ def title(feed: Column) -> Column:
     three_names = [F.coalesce(_text(f"$.{key}"), F.lit("")) for key in ("forename", "other_forenames", "surname")]
     chosen = (
         F.when(feed == "companies", title_case(_text("$.company_name")))
-        .when(feed == "filings", F.concat(sentence_case(F.coalesce(_text("$.category"), F.lit("New"))), F.lit(" filing")))
+        .when(feed == "filings", F.concat(sentence_case(F.coalesce(_text("$.category"), F.lit(NEW))), F.lit(FILING)))
         .when(feed == "officers", title_case(_text("$.name")))
         .when(feed == "persons-with-significant-control", _text("$.name"))
         .when(feed == "charges", _text("$.classification.description"))
-        .when(feed == "insolvency-cases", F.lit("Insolvency"))
+        .when(feed == "insolvency-cases", F.lit(INSOLVENCY))
         .when(feed == "disqualified-officers", F.concat_ws(" ", *three_names))
         .when(feed.isin("persons-with-significant-control-statements", "company-exemptions"), title_case(_text("$.linked_psc_name")))
     )
@@ -67,8 +70,8 @@ def description(feed: Column, filing_text: Column) -> Column:
     return (
         F.when(feed == "companies", F.lit(""))
         .when(feed == "filings", filing_text)
-        .when(feed == "officers", _dated("resigned_on", "Resigned on ", "appointed_on", "Appointed on "))
-        .when(feed == "persons-with-significant-control", _dated("ceased_on", "Ceased on ", "notified_on", "Notified on "))
+        .when(feed == "officers", _dated("resigned_on", RESIGNED, "appointed_on", APPOINTED))
+        .when(feed == "persons-with-significant-control", _dated("ceased_on", CEASED, "notified_on", NOTIFIED))
         .when(feed == "charges", _text("$.particulars.description"))
         .when(feed == "insolvency-cases", cases)
         .when(feed == "disqualified-officers", _disqualified_from())
@@ -86,16 +89,17 @@ def filing_text(code: Column, template_filled: Column, free_text: Column) -> Col
 def described(events: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Add ``filing_text`` from the description dictionary (code, template) for filings.
 
-    Rows of other feeds carry a NULL code, so a shuffled join would gather them in one task; the dictionary is
-    therefore joined by broadcast while it is small, and AQE splits the hot side otherwise.
+    Only filings are joined. Rows of other feeds carry a NULL code, which a shuffled join would gather in one task.
     """
     code = F.when(F.col("stream_path") == "filings", _text("$.description"))
     values = F.try_variant_get(F.col("data"), "$.description_values", "map<string,string>")
     entries = broadcast_if_small(dictionary)
-    joined = events.withColumn("code", code).join(entries, "code", "left")
+    coded = events.withColumn("code", code)
+    joined = coded.where("code is not null").join(entries, "code", "left")
     filled = F.when(F.col("template").isNotNull(), fill_template(F.col("template"), F.coalesce(values, F.create_map().cast("map<string,string>"))))
     free = _text("$.description_values.description")
-    return joined.withColumn("filing_text", filing_text(F.col("code"), filled, free)).drop("template")
+    texts = joined.withColumn("filing_text", filing_text(F.col("code"), filled, free)).drop("template")
+    return texts.unionByName(coded.where("code is null").withColumn("filing_text", F.lit(None).cast("string")))
 
 
 def cards(events: DataFrame, dictionary: DataFrame) -> DataFrame:

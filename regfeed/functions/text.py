@@ -13,7 +13,7 @@ _PLACEHOLDER = r"^\{[0-9A-Za-z_]+\}$"
 def sentence_case(text: Column) -> Column:
     """Lower case, anything but letters and digits to single spaces, first letter capital."""
     words = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
-    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2)))
 
 
 def title_case(text: Column) -> Column:

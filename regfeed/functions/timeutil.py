@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 _ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|\+\d{2}:\d{2})$"
 _ISO_SIGNED = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"
+_DAY = r"^\d{4}-\d{2}-\d{2}$"
+_BLANK = r"^(\d{4}-\d{2}-\d{2}) (\d{2}:)"
 
 
 def normalise_timestamp(text: Column, negative_zones: bool = False) -> Column:
     """TIMESTAMP in whole milliseconds; text without a zone is UTC, unreadable text is NULL.
 
-    A zone is ``Z`` or ``+hh:mm``. Zones west of Greenwich are read only on request.
+    A zone is ``Z`` or ``+hh:mm``. Zones west of Greenwich are read only on request. A day alone is its midnight, and a blank may
+    stand for the ``T``.
     """
+    text = F.when(text.rlike(_DAY), F.concat(text, F.lit("T00:00:00"))).otherwise(F.regexp_replace(text, _BLANK, "$1T$2"))
     zone = r"(Z|[+-]\d{2}:\d{2})$" if negative_zones else r"(Z|\+\d{2}:\d{2})$"
     zoned = F.when(text.rlike(zone), text).otherwise(F.concat(text, F.lit("Z")))
     readable = zoned.rlike(_ISO_SIGNED if negative_zones else _ISO)

@@ -16,7 +16,7 @@ from regfeed.functions.timeutil import utc_day
 from regfeed.session import broadcast_if_small
 
 NO_KIND = "__none__"
-PARTITIONS = ("stream", "resource_kind", "uploaded_day")
+PARTITIONS = ("stream", "resource_kind", "span", "uploaded_day")
 # Records per archive file; about 25 MB of JSON at a few hundred bytes an event.
 RECORDS_PER_FILE = 100_000
 
@@ -32,14 +32,14 @@ def export_cutoff(summary: DataFrame) -> DataFrame:
     return summary.groupBy("stream_path").agg(F.max_by("min_timepoint", "max_timepoint").alias("cutoff"))
 
 
-def cutoffs(buffer: DataFrame, feeds: tuple[str, ...]) -> DataFrame:
-    """One row per known feed."""
-    return export_cutoff(published_day_summary(feed_names.known_only(buffer, feeds)))
+def cutoffs(buffer: DataFrame, feeds: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per feed: of all feeds in the buffer, or of those named."""
+    return export_cutoff(published_day_summary(buffer if feeds is None else feed_names.known_only(buffer, feeds)))
 
 
 def eligible(buffer: DataFrame, cutoff: DataFrame) -> DataFrame:
-    """Rows before their feed's cutoff. ``cutoff`` holds one row per known feed, so it is broadcast."""
-    return buffer.join(F.broadcast(cutoff), "stream_path").where(F.col("timepoint") < F.col("cutoff")).drop("cutoff")
+    """Rows before their feed's cutoff; ``cutoff`` has one row per feed."""
+    return buffer.join(broadcast_if_small(cutoff), "stream_path").where(F.col("timepoint") < F.col("cutoff")).drop("cutoff")
 
 
 def window_check(rows: DataFrame) -> DataFrame:
@@ -50,21 +50,30 @@ def window_check(rows: DataFrame) -> DataFrame:
 
 
 def with_kind(buffer: DataFrame) -> DataFrame:
-    """Events without a kind keep a place of their own, so they are exported too."""
-    return buffer.withColumn("resource_kind", F.coalesce("resource_kind", F.lit(NO_KIND)))
+    """Events without a kind, or with an empty one, keep a place of their own: a folder cannot be named after either."""
+    return buffer.withColumn("resource_kind", F.when(F.col("resource_kind") != "", F.col("resource_kind")).otherwise(NO_KIND))
 
 
 def kind_counts(rows: DataFrame) -> DataFrame:
     return with_kind(rows).groupBy("stream_path", "resource_kind").agg(F.count(F.lit(1)).alias("events"))
 
 
-def write_archive(rows: DataFrame, path: str, uploaded_day: dt.date, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write rows under stream= / resource_kind= / uploaded_day=, in position order.
+def spans(rows: DataFrame, cutoff: DataFrame) -> DataFrame:
+    """Name of what one run exports of each feed and kind: its first position and the cutoff. One row per feed and kind."""
+    first = with_kind(rows).groupBy("stream_path", "resource_kind").agg(F.min("timepoint").alias("_first"))
+    named = first.join(broadcast_if_small(cutoff), "stream_path")
+    return named.select("stream_path", "resource_kind", F.concat_ws("-", "_first", "cutoff").alias("span"))
+
+
+def write_archive(rows: DataFrame, spans: DataFrame, path: str, uploaded_day: dt.date, records_per_file: int = RECORDS_PER_FILE) -> None:
+    """Write rows under stream= / resource_kind= / span= / uploaded_day=, in position order.
 
     Range partitioning on (feed, kind, position) spreads one busy feed over many tasks and keeps the files of a
-    feed and kind apart in position. Only the partitions written are replaced, so a repeated run is safe.
+    feed and kind apart in position. Only the folders written are replaced: the same window replaces itself, and another
+    window of the same day is added beside it.
     """
-    keyed = with_kind(rows).withColumnRenamed("stream_path", "stream").withColumn("uploaded_day", F.lit(uploaded_day))
+    keyed = with_kind(rows).join(broadcast_if_small(spans), ["stream_path", "resource_kind"])
+    keyed = keyed.withColumnRenamed("stream_path", "stream").withColumn("uploaded_day", F.lit(uploaded_day))
     ranged = keyed.repartitionByRange("stream", "resource_kind", "timepoint").sortWithinPartitions(*PARTITIONS, "timepoint")
     (
         ranged.write.mode("overwrite")
@@ -76,7 +85,7 @@ def write_archive(rows: DataFrame, path: str, uploaded_day: dt.date, records_per
 
 
 ARCHIVE_SCHEMA = (
-    "timepoint bigint, published_at timestamp_ntz, event_data string, stream string, resource_kind string, uploaded_day date"
+    "timepoint bigint, published_at timestamp_ntz, event_data string, stream string, resource_kind string, span string, uploaded_day date"
 )
 
 
@@ -107,7 +116,7 @@ def without_partitions(archive: DataFrame) -> DataFrame:
 
 def manifest(archive: DataFrame) -> DataFrame:
     """One row per archive file: rows, first and last position, and whether the file has no holes."""
-    files = archive.groupBy("stream", "resource_kind", F.col("_metadata.file_path").alias("file")).agg(
+    files = archive.groupBy("stream", "resource_kind", "span", F.col("_metadata.file_path").alias("file")).agg(
         F.count(F.lit(1)).alias("events"), F.min("timepoint").alias("min_timepoint"), F.max("timepoint").alias("max_timepoint")
     )
     return files.withColumn("difference", F.col("max_timepoint") - F.col("min_timepoint")).withColumn(
@@ -140,6 +149,6 @@ def reconcile(files: DataFrame, buffered: DataFrame) -> DataFrame:
 def remaining(buffer: DataFrame, cutoff: DataFrame, reconciled: DataFrame) -> DataFrame:
     """The buffer after export: rows past the cutoff, and rows of kinds whose counts differed."""
     settled = broadcast_if_small(reconciled.where("can_delete").select("stream_path", "resource_kind", F.lit(True).alias("_settled")))
-    marked = with_kind(buffer).join(F.broadcast(cutoff), "stream_path", "left").join(settled, ["stream_path", "resource_kind"], "left")
+    marked = with_kind(buffer).join(broadcast_if_small(cutoff), "stream_path", "left").join(settled, ["stream_path", "resource_kind"], "left")
     gone = F.coalesce(F.col("timepoint") < F.col("cutoff"), F.lit(False)) & F.coalesce("_settled", F.lit(False))
     return marked.where(~gone).drop("cutoff", "_settled")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from regfeed import feeds as feed_names
 from regfeed.operators.scan import max_before, running_number
 from regfeed.operators.topn import first_rows, rows_at_max
+from regfeed.session import broadcast_if_small
 
 # Log sizes.
 LOG_CAP = 10_000
@@ -76,7 +77,7 @@ def late_flags(arrivals: DataFrame, stored_max: DataFrame | None = None) -> Data
     scanned = max_before(arrivals, ["stream_path"], ["arrival", "timepoint"], "timepoint", "highest")
     if stored_max is not None:
         held = stored_max.select("stream_path", F.col("timepoint").alias("_held"))
-        scanned = scanned.join(F.broadcast(feed_names.known_only(held)), "stream_path", "left")
+        scanned = scanned.join(broadcast_if_small(held), "stream_path", "left")
         scanned = scanned.withColumn("highest", F.greatest("highest", "_held")).drop("_held")
     return scanned.withColumn("accepted", F.coalesce(F.col("timepoint") >= F.col("highest"), F.lit(True)))
 
@@ -97,6 +98,9 @@ def live_filter(events: DataFrame, filter_text: str = "", visible: bool = True)
 
 
 def topic_messages(events: DataFrame, body: str) -> DataFrame:
-    """One message per event for its feed's topic: the event with ``streamPath`` in front."""
-    with_feed = F.concat(F.lit('{"streamPath":"'), F.col("stream_path"), F.lit('",'), F.substr(F.col(body), F.lit(2)))
+    """One message per event for its feed's topic: the event with ``streamPath`` in front. ``body`` is the text of a JSON object."""
+    blanks = F.lit(" \t\r\n")
+    rest = F.substr(F.ltrim(F.col(body), blanks), F.lit(2))
+    comma = F.when(F.ltrim(rest, blanks).startswith("}"), "").otherwise(",")
+    with_feed = F.concat(F.lit('{"streamPath":"'), F.col("stream_path"), F.lit('"'), comma, rest)
     return events.withColumn("topic", F.col("stream_path")).withColumn("value", with_feed)

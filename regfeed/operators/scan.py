@@ -4,12 +4,13 @@ A plain window puts a whole group into one task; with nine feeds, that is a thir
 Here the rows are range-partitioned by (group, order) into buckets of equal size, stored once, and each
 bucket is scanned on its own with the carry of the buckets before it. A group continues into the next bucket
 at most once per bucket boundary, so the carry table has fewer rows than there are buckets and is safe to
-broadcast. Group columns must not be NULL; the order must be total for row-exact results.
+broadcast. NULL is a group of its own; the order must be total for row-exact results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +38,12 @@ def _with_carry(bucketed: DataFrame, group: Sequence[str], total: Column, merge)
     totals = bucketed.groupBy(BUCKET, *group).agg(total.alias("_total"))
     # One row per (bucket, group): a group has at most as many rows here as there are buckets.
     earlier = Window.partitionBy(*group).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carries = totals.select(BUCKET, *group, merge("_total").over(earlier).alias(CARRY)).where(F.col(CARRY).isNotNull())
-    return bucketed.join(F.broadcast(carries), [BUCKET, *group], "left")
+    carried = merge("_total").over(earlier).alias(CARRY)
+    # NULL is a group like any other, so keys are compared null-safely.
+    keys = [BUCKET, *group]
+    carries = totals.select(*keys, carried).where(F.col(CARRY).isNotNull()).select(*[F.col(c).alias(f"_at_{c}") for c in keys], CARRY)
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in keys])
+    return bucketed.join(F.broadcast(carries), same, "left").drop(*[f"_at_{c}" for c in keys])
 
 
 def _within(group: Sequence[str], order: Sequence[str]):

@@ -13,11 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regfeed.session import broadcast_if_small
+from regfeed.session import broadcast_if_small, materialise
 
 ROOT = "$"
-# Levels of nesting followed; a payload nested deeper is an error, never cut off.
-MAX_DEPTH = 10
+# Levels of nesting followed in one pass; payloads nested deeper take another pass from there.
+PASS_DEPTH = 10
 
 _NODE = "array<struct<parent:string,path:string,v:variant>>"
 
@@ -61,20 +61,40 @@ def _children(node: Column) -> Column:
     return F.coalesce(from_object, from_array, F.array().cast(_NODE))
 
 
-def nodes(events: DataFrame, key: list[str], data: str = "data", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """One row per node of every payload: key columns, parent, path, type."""
-    root = F.array(F.struct(F.lit(None).cast("string").alias("parent"), F.lit(ROOT).alias("path"), F.try_parse_json(F.col(data)).alias("v")))
-    level = events.select(*key, root.cast(_NODE).alias("_l0"))
-    for depth in range(max_depth):
-        level = level.withColumn(f"_l{depth + 1}", F.flatten(F.transform(f"_l{depth}", _children)))
-    deeper = F.size(f"_l{max_depth}") > 0
-    message = F.lit(f"payload nested deeper than {max_depth} levels; raise max_depth")
-    every = F.flatten(F.array(*[F.col(f"_l{d}") for d in range(max_depth)]))
-    checked = F.when(deeper, F.raise_error(message).cast(_NODE)).otherwise(every)
-    flat = level.select(*key, F.inline(checked))
+def _walk(roots: DataFrame, key: list[str], depth: int) -> DataFrame:
+    """Columns ``_l0`` (given) to ``_l<depth>``: the nodes of each level below the last."""
+    for d in range(depth):
+        roots = roots.withColumn(f"_l{d + 1}", F.flatten(F.transform(f"_l{d}", _children)))
+    return roots
+
+
+def nodes(events: DataFrame, key: list[str], data: str = "data", pass_depth: int = PASS_DEPTH) -> DataFrame:
+    """One row per node of every readable payload, however deep: key columns, parent, path, type.
+
+    Payloads that are not JSON have no nodes; ``unreadable`` counts them. Only payloads with more than ``pass_depth`` opening
+    brackets can be nested deeper, so a further pass looks at those alone.
+    """
+    read = F.try_parse_json(F.col(data))
+    root = F.array(F.struct(F.lit(None).cast("string").alias("parent"), F.lit(ROOT).alias("path"), read.alias("v")))
+    opened = F.length(data) - F.length(F.translate(F.col(data), "{[", ""))
+    level = events.where(read.isNotNull()).select(*key, root.cast(_NODE).alias("_l0"), (opened > pass_depth).alias("_nested"))
+    below = F.flatten(F.array(*[F.col(f"_l{d}") for d in range(pass_depth)]))
+    walked = _walk(level.drop("_nested"), key, pass_depth)
+    flat = walked.select(*key, F.inline(below))
+    rest = _walk(level.where("_nested").drop("_nested"), key, pass_depth).select(*key, F.col(f"_l{pass_depth}").alias("_l0")).where("size(_l0) > 0")
+    while not rest.isEmpty():
+        rest = materialise(rest, "deeper")
+        walked = _walk(rest, key, pass_depth)
+        flat = flat.unionByName(walked.select(*key, F.inline(below)))
+        rest = walked.select(*key, F.col(f"_l{pass_depth}").alias("_l0")).where("size(_l0) > 0")
     return flat.select(*key, "parent", "path", _type_name(F.col("v")).alias("type"))
 
 
+def unreadable(events: DataFrame, data: str = "data") -> DataFrame:
+    """Payloads per kind that are not JSON; no schema is learned from them."""
+    return events.where(F.try_parse_json(F.col(data)).isNull()).groupBy("resource_kind").agg(F.count(F.lit(1)).alias("events"))
+
+
 def payload_paths(events: DataFrame, data: str = "data") -> DataFrame:
     """Schema of single payloads: how often each (path, type) occurs in each event."""
     return nodes(events, ["event_id"], data).groupBy("event_id", "path", "type").agg(F.count(F.lit(1)).alias("nodes"))

@@ -27,7 +27,8 @@ def _cut(df: DataFrame, cuts: DataFrame, group: Sequence[str], position: str, ne
     """Keep rows at or beyond each group's cut position (column ``_cut``)."""
     rows = cuts.limit(MAX_LITERAL_GROUPS + 1).collect()
     if len(rows) > MAX_LITERAL_GROUPS:
-        kept = df.join(cuts, list(group))
+        named = cuts.select(*[F.col(g).alias(f"_at_{g}") for g in group], "_cut")
+        kept = df.join(named, reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_at_{g}")) for g in group])).drop(*[f"_at_{g}" for g in group])
         beyond = F.col(position) >= F.col("_cut") if newest else F.col(position) <= F.col("_cut")
         return kept.where(beyond).drop("_cut")
     if not rows:
@@ -36,7 +37,7 @@ def _cut(df: DataFrame, cuts: DataFrame, group: Sequence[str], position: str, ne
     for row in rows:
         edge = literal(row["_cut"], df, position)
         beyond = F.col(position) >= edge if newest else F.col(position) <= edge
-        clauses.append(reduce(Column.__and__, [F.col(g) == F.lit(row[g]) for g in group], beyond))
+        clauses.append(reduce(Column.__and__, [F.col(g).eqNullSafe(F.lit(row[g]).cast(df.schema[g].dataType)) for g in group], beyond))
     return df.where(reduce(Column.__or__, clauses))
 
 
@@ -51,19 +52,19 @@ def first_rows(
     rank: str = "rank",
 ) -> DataFrame:
     """The ``n`` newest (or oldest) rows of every group, ranked from 1; without a group, of the whole table, unranked."""
+    order = [F.col(c).desc() if newest else F.col(c).asc() for c in (position, *ties)]
+    if not group:
+        # A limited sort keeps n rows per task.
+        return df.where(F.col(position).isNotNull()).orderBy(*order).limit(n)
     zone = F.floor(F.col(position) / F.lit(zone_width)).cast("bigint")
     zones = df.groupBy(*group, zone.alias("_zone")).agg(F.count(F.lit(1)).alias("_rows"))
     zone_order = F.col("_zone").desc() if newest else F.col("_zone").asc()
-    # One row per zone, so the window is small even where there is no group.
+    # One row per zone, so the window is small.
     nearer = Window.partitionBy(*group).orderBy(zone_order).rowsBetween(Window.unboundedPreceding, -1)
     needed = zones.withColumn("_nearer", F.coalesce(F.sum("_rows").over(nearer), F.lit(0))).where(F.col("_nearer") < n)
     edge = F.min("_zone") * zone_width if newest else F.max("_zone") * zone_width + (zone_width - 1)
-    # Without groups an empty table would give one NULL cut.
     cuts = needed.groupBy(*group).agg(edge.alias("_cut")).where(F.col("_cut").isNotNull())
     tail = _cut(df, cuts, group, position, newest)
-    order = [F.col(c).desc() if newest else F.col(c).asc() for c in (position, *ties)]
-    if not group:
-        return tail.orderBy(*order).limit(n)
     # rank <= n on row_number is limited per input partition before its shuffle, ties included.
     return tail.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= n)
 
@@ -74,22 +75,9 @@ def rows_at_max(df: DataFrame, group: Sequence[str], position: str) -> DataFrame
     return _cut(df, peaks.where(F.col("_cut").isNotNull()), group, position, newest=True)
 
 
-def bottom_k(df: DataFrame, token: Column, k: int, expected_rows: int | None = None, slack: float = 8.0) -> DataFrame:
+def bottom_k(df: DataFrame, token: Column, k: int) -> DataFrame:
     """The ``k`` rows with the smallest md5 token: a seeded, repeatable uniform sample.
 
-    With ``expected_rows`` known, tokens are uniform, so a cut just above k / rows keeps little more than k
-    rows for the final ordering. The cut is checked and widened until at least k rows pass, so the result is
-    exact whatever the estimate was.
+    One pass: every task keeps its own ``k`` smallest, and only those are brought together.
     """
-    hashed = df.withColumn("token", token)
-    if expected_rows and expected_rows > 4 * k:
-        scale = 16**8
-        share = (k + slack * k**0.5 + 64) / expected_rows
-        while share < 1:
-            edge = format(int(share * scale), "08x")
-            near = hashed.where(F.col("token") < F.lit(edge))
-            if near.limit(k).count() >= k:
-                hashed = near
-                break
-            share *= 4
-    return hashed.orderBy("token").limit(k)
+    return df.withColumn("token", token).orderBy("token").limit(k)

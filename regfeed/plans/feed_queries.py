@@ -174,13 +174,12 @@ def late_rejects(v):
 
 @query(
     "topic_fanout",
-    "select stream_path as topic, count(*) as messages, cast(sum(length(line) + length(stream_path) + 16) as bigint) as characters from event_lines group by stream_path",
+    """select stream_path as topic, md5('{"streamPath":"' || stream_path || '",' || substr(line, 2)) as message from event_lines""",
     ("event_lines",),
 )
 def topic_fanout(v):
     messages = history.topic_messages(v("event_lines"), "line")
-    whole = F.try_variant_get(F.try_parse_json("value"), "$.streamPath", "string") == F.col("topic")
-    return messages.where(whole).groupBy("topic").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("value")).alias("characters"))
+    return messages.select("topic", F.md5(F.col("value").cast("binary")).alias("message"))
 
 
 @query(
@@ -199,6 +198,17 @@ def filter_company_contains(v):
     return history.live_filter(numbered(v), "0001").select("event_id", "stream_path", "company_number")
 
 
+@query(
+    "filter_hidden_page",
+    f"select event_id, stream_path, {CN_SQL} as company_number, typed from ev, (values ('0001'), ('00000012')) t(typed) where length(typed) = 8 and contains({CN_SQL}, typed)",
+    ("ev",),
+)
+def filter_hidden_page(v):
+    """A hidden page shows nothing for part of a number, and that company's events for a whole one."""
+    shown = [history.live_filter(numbered(v), typed, visible=False).withColumn("typed", F.lit(typed)) for typed in ("0001", "00000012")]
+    return shown[0].unionByName(shown[1]).select("event_id", "stream_path", "company_number", "typed")
+
+
 # --- liveness -------------------------------------------------------------------------------------------------------
 
 NOW = "2024-01-31 00:00:30"
@@ -327,7 +337,7 @@ def company_number(v):
 @query(
     "normalise_published_at",
     """select event_id, case when event_id % 97 = 0 or event_id % 89 = 0 then null else strftime(date_trunc('millisecond',
-  case when event_id % 3 = 2 then ts - interval 1 hour else ts end), '%Y-%m-%dT%H:%M:%S.%gZ') end as published_at from published_raw""",
+  case when event_id % 83 = 0 then cast(cast(ts as date) as timestamp) when event_id % 79 = 0 then ts when event_id % 3 = 2 then ts - interval 1 hour else ts end), '%Y-%m-%dT%H:%M:%S.%gZ') end as published_at from published_raw""",
     ("published_raw",),
 )
 def normalise_published_at(v):
@@ -397,7 +407,7 @@ def describe_filings(v):
     when 'disqualified-officers' then coalesce(data->>'$.forename', '') || ' ' || coalesce(data->>'$.other_forenames', '') || ' ' || coalesce(data->>'$.surname', '')
     else {TITLE_SQL.format("data->>'$.linked_psc_name'")} end, {TITLE_SQL.format("replace(stream_path, '-', ' ')")}) as title,
   case stream_path when 'companies' then '' when 'filings' then {FILING_SQL}
-    when 'officers' then case when json_exists(data, '$.resigned_on') then 'Resigned on ' || (data->>'$.resigned_on') else 'Appointed on ' || (data->>'$.appointed_on') end
+    when 'officers' then case when json_exists(data, '$.resigned_on') then 'Resigned on ' || coalesce(data->>'$.resigned_on', 'null') else 'Appointed on ' || (data->>'$.appointed_on') end
     when 'persons-with-significant-control' then case when json_exists(data, '$.ceased_on') then 'Ceased on ' || (data->>'$.ceased_on') else 'Notified on ' || (data->>'$.notified_on') end
     when 'charges' then data->>'$.particulars.description'
     when 'insolvency-cases' then array_to_string(list_transform(json_extract_string(data, '$.cases[*].type'), lambda c: {SENTENCE_SQL.format("c")}), ', ')

@@ -5,19 +5,25 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from pyspark.sql import functions as F
 
-from regfeed.feeds import FEEDS
 from regfeed.operators import export
-from regfeed.session import materialise, work_path
+from regfeed.session import broadcast_if_small, materialise, work_path
+from regfeed.streaming.tables import BatchTable
 
 
 @dataclass
 class ExportResult:
-    """What an export left behind: the archive, its files, the comparison, and the rows still in the buffer."""
+    """What an export left behind: the archive, its files, the comparison, and the rows still in the buffer.
+
+    ``windows`` tells for each feed what was to be exported, and whether its positions were contiguous.
+    """
 
     path: str
     cutoff: DataFrame
+    windows: DataFrame
     files: DataFrame
     reconciled: DataFrame
     remaining: DataFrame
@@ -27,21 +33,47 @@ def run_export(
     buffer: DataFrame,
     uploaded_day: dt.date,
     path: str | None = None,
-    feeds: tuple[str, ...] = FEEDS,
+    feeds: tuple[str, ...] | None = None,
     records_per_file: int = export.RECORDS_PER_FILE,
 ) -> ExportResult:
-    """Export every feed and kind up to its cutoff, then compare what the files hold with what was to be exported.
+    """Export every feed (or those named) and kind up to its cutoff, then compare the files with what was to be exported.
 
     The cutoff is stored first, so the write and the comparison use the same window even if the buffer grows meanwhile.
-    Counts come from the written files, never from the plan that wrote them.
+    Counts come from the files of this run, never from the plan that wrote them, nor from other runs of the day.
     """
     spark = buffer.sparkSession
     path = path or work_path(spark, "archive")
     cutoff = materialise(export.cutoffs(buffer, feeds), "cutoff")
     window = export.eligible(buffer, cutoff)
-    export.write_archive(window, path, uploaded_day, records_per_file)
+    windows = materialise(export.window_check(window), "windows")
+    spans = materialise(export.spans(window, cutoff), "spans")
+    export.write_archive(window, spans, path, uploaded_day, records_per_file)
     archive = export.read_archive(spark, path)
-    today = archive.where(archive.uploaded_day == uploaded_day)
-    files = materialise(export.manifest(today), "manifest")
+    own = spans.withColumnRenamed("stream_path", "stream")
+    today = export.manifest(archive.where(archive.uploaded_day == uploaded_day))
+    files = materialise(today.join(broadcast_if_small(own), ["stream", "resource_kind", "span"], "left_semi"), "manifest")
     reconciled = materialise(export.reconcile(files, export.kind_counts(window)), "reconciled")
-    return ExportResult(path, cutoff, files, reconciled, export.remaining(buffer, cutoff, reconciled))
+    return ExportResult(path, cutoff, windows, files, reconciled, export.remaining(buffer, cutoff, reconciled))
+
+
+class Buffer:
+    """The buffer as a stored table whose contents are replaced as a whole: a version is complete before it is the newest."""
+
+    def __init__(self, spark: SparkSession, schema: str, path: str):
+        self.spark, self.table = spark, BatchTable(spark, schema, "buffer", path)
+
+    def read(self) -> DataFrame:
+        return self.table.last(self.spark)
+
+    def replace(self, rows: DataFrame) -> None:
+        self.table.write(rows.select(*self.read().columns), self.table.newest(self.spark) + 1)
+
+    def append(self, rows: DataFrame) -> None:
+        held = self.read()
+        self.replace(held.unionByName(rows.select(*held.columns)))
+
+    def export(self, uploaded_day: dt.date, path: str, **options) -> ExportResult:
+        """Export, then keep what is left in one commit. A failure in between repeats the same window next time."""
+        done = run_export(self.read(), uploaded_day, path, **options)
+        self.replace(done.remaining.withColumn("resource_kind", F.nullif("resource_kind", F.lit(export.NO_KIND))))
+        return done

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from regfeed.feeds import FEEDS
 from regfeed.functions import timeutil
 from regfeed.operators import audit, buffer, export, history, liveness, schema
-from regfeed.plans.nightly import run_export
+from regfeed.plans.nightly import Buffer, run_export
 from regfeed.plans.registry import query
 from regfeed.session import materialise, work_path
 from regfeed.sources import chunks, cursors, ndjson
@@ -92,7 +92,11 @@ def json_extract(v):
 
 @query("ndjson_export_roundtrip", "select line from event_lines", ("event_lines",))
 def ndjson_export_roundtrip(v):
-    stamped = v("event_lines").withColumn("line", F.col("line"))
+    """From stamped text, as a reader of the live topics has it: both stamps in front, and one of them at the end."""
+    sent = v("event_lines")
+    both = F.concat(F.lit('{"received":"'), F.col("received").cast("string"), F.lit('","streamPath":"'), F.col("stream_path"), F.lit('",'), F.substr("line", F.lit(2)))
+    one = F.concat(F.lit('{"streamPath": "'), F.col("stream_path"), F.lit('" , '), F.substr("line", F.lit(2)))
+    stamped = sent.withColumn("line", F.when(F.col("event_id") % 2 == 0, both).otherwise(one))
     path = _as_text_files(ndjson.to_ndjson(stamped, "line"), "value")
     return v.spark.read.text(path).withColumnRenamed("value", "line")
 
@@ -267,6 +271,35 @@ def buffer_after_export(v):
     return _exported(v).remaining.select("stream_path", "timepoint", "resource_kind")
 
 
+TWICE_SQL = f""",
+early as (select * from buffered where published_at < {HALF}),
+days1 as (select stream_path, cast(published_at as date) as day, min(timepoint) as low, max(timepoint) as high from early group by all),
+cut1 as (select stream_path, arg_max(low, high) as cutoff from days1 group by stream_path),
+out1 as (select b.* from early b join cut1 c on b.stream_path = c.stream_path and b.timepoint < c.cutoff),
+rest as (select * from buffered b where not exists (select 1 from out1 o where o.stream_path = b.stream_path and o.timepoint = b.timepoint)),
+days2 as (select stream_path, cast(published_at as date) as day, min(timepoint) as low, max(timepoint) as high from rest group by all),
+cut2 as (select stream_path, arg_max(low, high) as cutoff from days2 group by stream_path),
+out2 as (select b.* from rest b join cut2 c on b.stream_path = c.stream_path and b.timepoint < c.cutoff)
+select stream_path as stream, resource_kind, timepoint, event_data, true as archived from (select * from out1 union all select * from out2)
+union all select stream_path, resource_kind, timepoint, event_data, false from rest b join cut2 c using (stream_path) where timepoint >= c.cutoff"""
+
+
+@query("export_twice_one_day", TWICE_SQL, _B)
+def export_twice_one_day(v):
+    """Two windows exported on one day, the buffer replaced after each: every row is in the archive or in the buffer, once."""
+    rows = v("buffered")
+    late = F.col("published_at") >= F.expr(HALF)
+    schema_text = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    path, store = work_path(v.spark, "archive"), Buffer(v.spark, schema_text, work_path(v.spark, "buffer"))
+    store.append(rows.where(~late))
+    store.export(UPLOADED, path)
+    store.append(rows.where(late))
+    store.export(UPLOADED, path)
+    columns = ("resource_kind", "timepoint", "event_data")
+    archived = export.read_archive(v.spark, path).select("stream", *columns, F.lit(True).alias("archived"))
+    return archived.unionByName(store.read().select(F.col("stream_path").alias("stream"), *columns, F.lit(False).alias("archived")))
+
+
 @query(
     "archive_scan_pruned",
     _sql("select stream_path as stream, timepoint, resource_kind from eligible where resource_kind = 'purchase' and stream_path <> 'orders'"),
@@ -341,6 +374,23 @@ def audit_report(v):
     )
 
 
+@query(
+    "audit_archive_daily",
+    _audit(f"""select stream_path, strftime(day, {DAY}) as day, events, span, status, boundary from audit"""),
+    _D,
+)
+def audit_archive_daily(v):
+    """The audit over stored files whose folders give feed, year, month and day."""
+    path = work_path(v.spark, "days")
+    day = F.col("day")
+    dated = v("damaged").select("stream_path", F.year(day).alias("year"), F.month(day).alias("month"), F.dayofmonth(day).alias("day"), "timepoint")
+    keys = ["stream_path", "year", "month", "day"]
+    dated.repartitionByRange(*keys, "timepoint").write.partitionBy(*keys).parquet(path)
+    stored = v.spark.read.schema("timepoint bigint, stream_path string, year int, month int, day int").parquet(path)
+    days = audit.boundaries(audit.day_status(audit.daily_from_parts(stored)))
+    return days.select("stream_path", "day", "events", "span", "status", "boundary")
+
+
 # --- schemas --------------------------------------------------------------------------------------------------------
 
 TREE_SQL = """nodes as (select event_id, resource_kind, ts, regexp_replace(t.fullkey, '\\[[0-9]+\\]', '[]', 'g') as path,

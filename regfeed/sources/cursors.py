@@ -15,9 +15,15 @@ READ_SIZE = 1_000
 def _after(log: DataFrame, starts: dict[str, int], default: int | None) -> DataFrame:
     """Rows from each feed's start position on; feeds without one start at ``default``, or not at all.
 
-    The starts are literals in the filter, so partitions and row groups before them are not read.
+    The starts are literals in the filter, so partitions and row groups before them are not read. With more feeds than a
+    filter should name, they are joined instead; the rows are the same.
     """
     feed, position = F.col("stream_path"), F.col("timepoint")
+    if len(starts) > MAX_LITERAL_GROUPS:
+        table = log.sparkSession.createDataFrame(list(starts.items()), "_feed string, _start bigint")
+        joined = log.join(F.broadcast(table), feed == F.col("_feed"), "left")
+        start = F.col("_start") if default is None else F.coalesce("_start", F.lit(default))
+        return joined.where(position >= start).drop("_feed", "_start")
     wanted = F.lit(False)
     for name, start in starts.items():
         wanted = wanted | ((feed == name) & (position >= start))
@@ -29,8 +35,6 @@ def _after(log: DataFrame, starts: dict[str, int], default: int | None) -> DataF
 
 def _per_feed(table: DataFrame, feeds: tuple[str, ...]) -> dict[str, int]:
     """One number per feed on the driver: at most ``len(feeds)`` rows."""
-    if len(feeds) > MAX_LITERAL_GROUPS:
-        raise ValueError(f"at most {MAX_LITERAL_GROUPS} feeds, got {len(feeds)}")
     peaks = feed_names.known_only(table, feeds).groupBy("stream_path").agg(F.max("timepoint").alias("timepoint"))
     return {r.stream_path: r.timepoint for r in peaks.collect()}
 

@@ -28,6 +28,10 @@ ENVELOPE = T.StructType(
 )
 
 
+# Stamps at the beginning of an object, with the comma after each.
+_STAMPS = r'^\s*\{\s*(?:"(?:received|streamPath)"\s*:\s*(?:"(?:[^"\\]|\\.)*"|[0-9.eE+-]+|null)\s*(?:,\s*|(?=\})))+'
+
+
 def non_blank(lines: DataFrame, text: str = "line") -> DataFrame:
     """Lines that carry something; blank ones only keep the connection alive."""
     return lines.where(F.trim(F.col(text)) != "")
@@ -95,15 +99,11 @@ def infer(spark: SparkSession, path: str, sampling_ratio: float = 1.0) -> DataFr
     return spark.read.option("samplingRatio", sampling_ratio).json(path)
 
 
-# Kinds typed in one go. A register has a few dozen; far more means that the column is not a kind.
-MAX_KINDS = 1_000
-
 
 def infer_by_kind(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """A typed table for each kind of a folder of JSON lines under resource_kind=; two kinds never share a type."""
-    kinds = [r[0] for r in spark.read.text(root).select("resource_kind").distinct().limit(MAX_KINDS + 1).collect()]
-    if len(kinds) > MAX_KINDS:
-        raise ValueError(f"more than {MAX_KINDS} resource kinds under {root}")
+    # Names of folders; the files' text is not read for them.
+    kinds = [r[0] for r in spark.read.text(root).select("resource_kind").distinct().toLocalIterator()]
     return {str(kind): infer(spark, f"{root}/resource_kind={kind}") for kind in kinds}
 
 
@@ -117,5 +117,16 @@ def read_all_feeds(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def to_ndjson(events: DataFrame, text: str) -> DataFrame:
-    """Download form: the event as received, without the arrival stamp."""
-    return events.select("stream_path", F.col(text).alias("value"))
+    """Download form: the event as it was sent. The stamps ``received`` and ``streamPath`` go, wherever they stand.
+
+    Stamps are put in front, where they can be cut off as text; an object that has them elsewhere is written anew.
+    """
+    cut = F.regexp_replace(F.col(text), _STAMPS, "{")
+    event = F.try_parse_json(cut)
+    # Only text that names a stamp again is parsed.
+    named = cut.contains('"received"') | cut.contains('"streamPath"')
+    stamped = named & F.coalesce(F.schema_of_variant(event).rlike(r"(?s)^OBJECT<"), F.lit(False)) & (
+        F.try_variant_get(event, "$.received", "variant").isNotNull() | F.try_variant_get(event, "$.streamPath", "variant").isNotNull()
+    )
+    members = F.map_filter(F.try_variant_get(event, "$", "map<string,variant>"), lambda k, _: ~k.isin("received", "streamPath"))
+    return events.select("stream_path", F.when(stamped, F.to_json(members)).otherwise(cut).alias("value"))

@@ -1,7 +1,8 @@
 """Live twins of the batch operators.
 
 Ingest is a plain streaming write. The others run the batch operator on each micro-batch and carry a small table (one
-row per feed, day, kind or path) from batch to batch: keyed state would put a busy feed into one task.
+row per feed, day, kind or path) from batch to batch: keyed state would put a busy feed into one task. These tables lie
+beside the job's checkpoint, so a restarted job goes on with both.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from regfeed import feeds as feed_names
 from regfeed.operators import buffer, counts, history, sample, schema
 from regfeed.session import tune
 from regfeed.sources import ndjson
-from regfeed.streaming.tables import BatchTable, drain
+from regfeed.streaming.tables import BatchTable, beside, drain
 
 Batch = Callable[[DataFrame], DataFrame]
 
@@ -51,7 +52,7 @@ def _counter(events: DataFrame, count: Batch, schema_text: str, spark: SparkSess
     The totals are one row per feed and day or kind. They are carried as a small table, since keyed state would be
     committed for every shuffle partition in every batch.
     """
-    table = BatchTable(spark, schema_text, "counter")
+    table = BatchTable(spark, schema_text, "counter", beside(checkpoint, "counter"))
     keys = [c for c in table.state_before(spark, 0).columns if c != "events"]
 
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -76,7 +77,7 @@ def kind_counters(events: DataFrame, spark: SparkSession, checkpoint: str | None
 def dedup(events: DataFrame, key: list[str], order: list[str], spark: SparkSession, checkpoint: str | None = None) -> DataFrame:
     """First writer wins, inside a micro-batch and against everything stored before it."""
     schema_text = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields)
-    table = BatchTable(spark, schema_text, "buffer")
+    table = BatchTable(spark, schema_text, "buffer", beside(checkpoint, "buffer"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
         held = table.read(tune(batch.sparkSession), before=batch_id)
@@ -96,8 +97,8 @@ def dedup_within(events: DataFrame, delay: str, event_time: str = "received") ->
 
 def late_rejects(arrivals: DataFrame, spark: SparkSession, checkpoint: str | None = None) -> DataFrame:
     """Accept or reject each arrival by the greatest position before it; one maximum per feed is carried over."""
-    out = BatchTable(spark, "stream_path string, timepoint bigint, arrival bigint, accepted boolean", "flags")
-    held = BatchTable(spark, "stream_path string, timepoint bigint", "highest")
+    out = BatchTable(spark, "stream_path string, timepoint bigint, arrival bigint, accepted boolean", "flags", beside(checkpoint, "flags"))
+    held = BatchTable(spark, "stream_path string, timepoint bigint", "highest", beside(checkpoint, "highest"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
         session = tune(batch.sparkSession)
@@ -114,7 +115,7 @@ def late_rejects(arrivals: DataFrame, spark: SparkSession, checkpoint: str | Non
 
 def cursors(events: DataFrame, spark: SparkSession, checkpoint: str | None = None) -> DataFrame:
     """The event written last per feed, kept over batches; expiry is applied when it is read."""
-    cells = BatchTable(spark, "stream_path string, timepoint bigint, received timestamp_ntz, event_id bigint", "cursors")
+    cells = BatchTable(spark, "stream_path string, timepoint bigint, received timestamp_ntz, event_id bigint", "cursors", beside(checkpoint, "cursors"))
     columns = ["stream_path", "timepoint", "received", "event_id"]
 
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -137,11 +138,17 @@ class FanOut:
     The micro-batch is cached and used by every part, so it is read and parsed once.
     """
 
-    def __init__(self, spark: SparkSession, parts: tuple[str, ...] = ("topics", "pool", "schema"), pool_size: int = sample.POOL_SIZE):
-        self.spark, self.parts, self.pool_size = spark, parts, pool_size
-        self.topics = BatchTable(spark, TOPIC_SCHEMA, "topics")
-        self.pool = BatchTable(spark, "company_number string", "pool")
-        self.schemas = BatchTable(spark, COUNTS_SCHEMA, "schemas")
+    def __init__(
+        self,
+        spark: SparkSession,
+        parts: tuple[str, ...] = ("topics", "pool", "schema"),
+        pool_size: int = sample.POOL_SIZE,
+        checkpoint: str | None = None,
+    ):
+        self.spark, self.parts, self.pool_size, self.checkpoint = spark, parts, pool_size, checkpoint
+        self.topics = BatchTable(spark, TOPIC_SCHEMA, "topics", beside(checkpoint, "topics"))
+        self.pool = BatchTable(spark, "company_number string", "pool", beside(checkpoint, "pool"))
+        self.schemas = BatchTable(spark, COUNTS_SCHEMA, "schemas", beside(checkpoint, "schemas"))
 
     def save(self, batch: DataFrame, batch_id: int) -> None:
         session = tune(batch.sparkSession)
@@ -154,8 +161,8 @@ class FanOut:
             if "schema" in self.parts:
                 self.schemas.write(schema.type_counts(rows), batch_id)
 
-    def run(self, events: DataFrame, checkpoint: str | None = None) -> FanOut:
-        drain(events.writeStream.foreachBatch(self.save), self.spark, "fanout", checkpoint)
+    def run(self, events: DataFrame) -> FanOut:
+        drain(events.writeStream.foreachBatch(self.save), self.spark, "fanout", self.checkpoint)
         return self
 
     def schema_counts(self) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from regfeed import feeds
 from regfeed.operators import audit, buffer, counts, history, sample, scan, schema, topn, visitors
+from regfeed.functions.text import sentence_case
 from regfeed.session import broadcast_if_small, materialise, shared_dir
 from regfeed.sources import chunks, cursors, ndjson
 
@@ -265,11 +266,52 @@ def test_odd_keys_do_not_collide(spark):
     assert got["properties"]["a"]["properties"] == {"b": {"type": "string"}}
 
 
-def test_deep_payload_is_an_error_not_a_cut(spark):
-    deep = {"a": {"a": {"a": {"a": 1}}}}
-    with pytest.raises(Exception, match="deeper than 3"):
-        schema.nodes(payloads(spark, [deep]), ["event_id"], max_depth=3).collect()
-    assert schema.nodes(payloads(spark, [deep]), ["event_id"], max_depth=5).count() == 5
+def test_deep_payloads_take_further_passes(spark):
+    deep = 1
+    for _ in range(25):
+        deep = {"a": [deep]}
+    rows = payloads(spark, [deep, {"b": 1}])
+    found = schema.nodes(rows, ["event_id"]).groupBy("event_id").count().collect()
+    assert sorted(r["count"] for r in found) == [2, 51]
+    assert schema.nodes(rows, ["event_id"], pass_depth=2).count() == 53
+
+
+def test_unreadable_payloads_have_no_schema(spark):
+    rows = spark.createDataFrame([(1, "k", "bad json"), (2, "k", '{"a":1}'), (3, "k", "null")], "event_id bigint, resource_kind string, data string")
+    assert sorted((r.path, r.type, r.nodes) for r in schema.type_counts(rows).collect()) == [("$", "null", 1), ("$", "object", 1), ("$.a", "integer", 1)]
+    assert [(r.resource_kind, r.events) for r in schema.unreadable(rows).collect()] == [("k", 1)]
+
+
+def test_null_is_a_group(spark):
+    rows = spark.createDataFrame([(None if i < 40 else "x", i) for i in range(60)], "g string, i int")
+    got = scan.running_number(rows, ["g"], ["i"], "n", buckets=4)
+    assert sorted(r.n for r in got.where("g is null").collect()) == list(range(40))
+    assert topn.first_rows(rows, ["g"], "i", 4).count() == 8
+
+
+def test_more_feeds_than_a_filter_names(spark):
+    log = spark.createDataFrame([(f"f{k}", i) for k in range(80) for i in range(4)], "stream_path string, timepoint bigint")
+    at = spark.createDataFrame([(f"f{k}", 1) for k in range(70)], "stream_path string, timepoint bigint")
+    feeds = tuple(f"f{k}" for k in range(80))
+    assert cursors.resume(log, at, feeds).count() == 140
+    assert cursors.next_batch(log, at, 3, feeds).count() == 70 * 2 + 10 * 3
+
+
+def test_topic_messages_are_json(spark):
+    rows = spark.createDataFrame([("f", "{}"), ("f", ' {"a":1}'), ("f", "{ }")], "stream_path string, line string")
+    got = [json.loads(r.value) for r in history.topic_messages(rows, "line").collect()]
+    assert got == [{"streamPath": "f"}, {"streamPath": "f", "a": 1}, {"streamPath": "f"}]
+
+
+def test_stamps_are_removed_wherever_they_are(spark):
+    texts = ['{"received":"x\\"y","streamPath":"f","a":1}', '{"a":{"received":1},"received":2}', '{"streamPath":"f"}', '{"b": "received"}']
+    rows = spark.createDataFrame([("f", t) for t in texts], "stream_path string, line string")
+    assert [json.loads(r.value) for r in ndjson.to_ndjson(rows, "line").collect()] == [{"a": 1}, {"a": {"received": 1}}, {}, {"b": "received"}]
+
+
+def test_long_text_is_not_cut(spark):
+    text = "a" * 1_200_000
+    assert spark.createDataFrame([(text,)], "t string").select(F.length(sentence_case(F.col("t")))).first()[0] == len(text)
 
 
 def test_json_schema_text(spark):
@@ -293,12 +335,10 @@ def test_bottom_k_of_parts_is_bottom_k_of_the_whole(spark):
     assert sorted(merged.collect()) == sorted(whole.collect())
 
 
-def test_sample_is_exact_whatever_the_estimate(spark):
+def test_sample_is_exact(spark):
     df = spark.range(3000)
     want = sorted(r.id for r in df.orderBy(sample.token(F.col("id"), "s")).limit(100).collect())
-    for estimate in (None, 3000, 3_000_000, 500):
-        got = topn.bottom_k(df, sample.token(F.col("id"), "s"), 100, expected_rows=estimate)
-        assert sorted(r.id for r in got.collect()) == want
+    assert sorted(r.id for r in topn.bottom_k(df, sample.token(F.col("id"), "s"), 100).collect()) == want
 
 
 def test_first_visitor_day(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from regfeed.operators import export, schema
 from regfeed.plans.api import FeedService
-from regfeed.plans.nightly import run_export
+from regfeed.plans.nightly import Buffer, run_export
 from regfeed.session import materialise, work_path
 from regfeed.streaming import jobs, tables
 
@@ -168,3 +168,36 @@ def test_service_refuses(service):
     ):
         with pytest.raises(ValueError):
             call()
+
+
+def test_second_window_of_a_day_adds_to_the_first(spark, buffered):
+    path, rows = work_path(spark, "archive"), buffered.where("timepoint < 15")
+    schema_text = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in buffered.schema)
+    store = Buffer(spark, schema_text, work_path(spark, "store"))
+    store.append(rows)
+    store.export(DAY, path)
+    store.append(buffered.where("timepoint >= 15"))
+    done = store.export(DAY, path)
+    assert done.reconciled.where("not can_delete").count() == 0
+    archive = [(r.stream, r.timepoint) for r in export.read_archive(spark, path).collect()]
+    left = [(r.stream_path, r.timepoint) for r in store.read().collect()]
+    assert sorted(archive + left) == sorted((r[0], r[1]) for r in buffer_rows())
+
+
+def test_empty_kind_is_exported(spark):
+    schema_text = "stream_path string, timepoint bigint, published_at timestamp_ntz, resource_kind string, event_data string"
+    rows = spark.createDataFrame([("f", i, dt.datetime(2024, 1, 1 + i), "", "{}") for i in range(3)], schema_text)
+    done = run_export(materialise(rows, "buffer"), DAY)
+    assert [(r.resource_kind, r.can_delete) for r in done.reconciled.collect()] == [(export.NO_KIND, True)]
+    assert done.remaining.count() == 1
+
+
+def test_jobs_resume_with_their_tables(spark):
+    folder, checkpoint = work_path(spark, "in"), work_path(spark, "checkpoint")
+    make = lambda rows: spark.createDataFrame(rows, "stream_path string, timepoint bigint, arrival bigint")
+    make([("f", 1, 1), ("f", 2, 2)]).coalesce(1).write.parquet(folder)
+    source = tables.source(spark, folder, make([]).schema)
+    jobs.dedup(source, ["stream_path", "timepoint"], ["arrival"], spark, checkpoint)
+    make([("f", 2, 3), ("f", 3, 4)]).coalesce(1).write.mode("append").parquet(folder)
+    got = jobs.dedup(source, ["stream_path", "timepoint"], ["arrival"], spark, checkpoint)
+    assert sorted((r.timepoint, r.arrival) for r in got.collect()) == [(1, 1), (2, 2), (3, 4)]

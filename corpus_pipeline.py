@@ -10,21 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regfeed.llm import curriculum, histogram_pack, line_rules, nbsvm, t_occurrence
-from regfeed.llm.common import prepare, read, stored
+from regfeed.llm.common import read, stored
+from regfeed.session import broadcast_if_small, tune
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score ``nbsvm.CUT`` or more, by a model fitted on their labelled, not held out rows."""
-    prepare(spark)
+    tune(spark)
     model = nbsvm.train(docs, read(spark, sf_dir, "labels"))
     return nbsvm.score(docs.select(COLUMNS), model).where(F.col("score") >= nbsvm.CUT).select(COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line rules keep, without the lines that failed; ``n_chars`` counts what is left."""
-    prepare(spark)
+    tune(spark)
     judged = line_rules.line_first(docs.select(COLUMNS), with_text=True).where("kept")
     return judged.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.char_length("clean_text").cast("long").alias("n_chars"))
 
@@ -34,14 +35,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without an id stay.
     """
-    prepare(spark)
-    groups = stored(t_occurrence.jaccard_groups(docs, width=5, percent=80).where("component_id < doc_id").select("doc_id"), "copies")
-    return docs.select(COLUMNS).join(groups.distinct(), "doc_id", "left_anti").select(COLUMNS)
+    tune(spark)
+    groups = t_occurrence.jaccard_groups(docs, width=5, percent=80).where("component_id < doc_id")
+    copies = stored(groups.select("doc_id").distinct(), "copies")
+    return docs.select(COLUMNS).join(broadcast_if_small(copies), "doc_id", "left_anti").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, as often as the mix takes them; what it does not take goes."""
-    prepare(spark)
+    tune(spark)
     # Only ids and sizes go through the sums; texts are moved by one join and the final sort.
     sized = stored(curriculum.word_counts(docs), "sizes")
     mixed = curriculum.mix(sized, curriculum.source_targets(sized)).where("passes > 0")
@@ -70,7 +72,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
-    prepare(spark)
+    tune(spark)
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

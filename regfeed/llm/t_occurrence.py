@@ -91,9 +91,12 @@ def least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
-def mark(shingles: np.ndarray) -> np.ndarray:
-    """A byte for each of the hash ranges, of which there are a power of two, a fifth to two fifths of the set's size (8 at least)."""
-    parts = 1 << max(3, int(np.ceil(np.log2(max(1.0, len(shingles) * 0.2)))))
+def mark(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """A byte for each of the hash ranges: a power of two of them, at least 8 and 1.8 times what a link leaves to differ.
+
+    Sets with little in common then differ in nearly all bytes, about half of which are enough to rule a link out.
+    """
+    parts = 1 << max(3, int(np.ceil(np.log2(max(1.0, 1.8 * most_apart(len(shingles), len(shingles), percent))))))
     out = np.zeros(parts, np.uint8)
     if len(shingles):
         place = (shingles >> np.uint64(65 - parts.bit_length())).astype(np.int64)
@@ -128,7 +131,7 @@ def may_link(marks: list[np.ndarray], sizes: np.ndarray, percent: int) -> tuple[
     return np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
 
 
-def _describe(width: int):
+def _describe(width: int, percent: int):
     """Per document: size, signature and mark; besides, shingles that many documents of a batch have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +146,7 @@ def _describe(width: int):
             columns = [cast_array(batch.column("doc_id"), pa.int64()).to_pylist() + none, n, cls, check]
             columns += [nothing + found.tolist(), nothing + seen.tolist()]
             names = ["doc_id", "n", "cls", "chk", "shingle", "seen", "mark"]
-            marks = pa.array([mark(s).tobytes() for s in sets] + none, pa.binary())
+            marks = pa.array([mark(s, percent).tobytes() for s in sets] + none, pa.binary())
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), marks], names)
 
     return run
@@ -326,7 +329,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kinds = "doc_id long, n long, cls long, chk long, shingle long, seen long, mark binary"
-    told = stored(texts.mapInArrow(_describe(width), kinds), "described")
+    told = stored(texts.mapInArrow(_describe(width, percent), kinds), "described")
     marked = told.where("n is not null")
     sizes = marked.select("doc_id", "n", "cls", "chk")
     seen = told.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen"))

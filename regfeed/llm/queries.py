@@ -43,17 +43,83 @@ def op10(spark, sf_dir):
     return histogram_pack.pack_documents(read(spark, sf_dir, "documents"))
 
 
-@query("op5_hyperplane_dedup")
+# Smallest vertex reachable over ``edges`` (a, b), both directions given.
+REACH_SQL = """reach as (
+  select a as id, b as other from edges union select r.id, e.b from reach r join edges e on r.other = e.a
+), joined as (select id, min(least(id, other)) as component_id from reach group by id)"""
+
+
+@query(
+    "op5_hyperplane_dedup",
+    f"""with recursive sound as (
+  select vec_id, label, embedding::double[] as v from embeddings where label is not null and vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), edges as materialized (
+  select a.vec_id as a, b.vec_id as b from sound a join sound b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.93
+), {REACH_SQL}
+select e.vec_id, coalesce(n, 0) as n_links, coalesce(component_id, e.vec_id) as component_id, coalesce(component_id, e.vec_id) = e.vec_id as kept
+from embeddings e left join joined on e.vec_id = joined.id left join (select a, count(*) as n from edges group by a) l on e.vec_id = l.a""",
+)
 def op5(spark, sf_dir):
     return hyperplane_dedup.near_copies(read(spark, sf_dir, "embeddings"))
 
 
-@query("op9_t_occurrence")
+@query(
+    "op9_t_occurrence",
+    f"""with recursive worded as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+  from documents
+), sets as materialized (
+  select doc_id, list_distinct(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as shingles from worded
+), entries as materialized (select doc_id, len(shingles) as n, hash(unnest(shingles)) as shingle from sets
+), pairs as (
+  select a.doc_id as x, b.doc_id as y, a.n as m, b.n as n, count(*) as shared from entries a join entries b on a.shingle = b.shingle and a.doc_id < b.doc_id
+  group by all having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), edges as materialized (select x as a, y as b from pairs union all select y, x from pairs
+), {REACH_SQL}
+select s.doc_id, len(shingles) as n_shingles, coalesce(k, 0) as n_links, coalesce(component_id, s.doc_id) as component_id
+from sets s left join joined on s.doc_id = joined.id left join (select a, count(*) as k from edges group by a) l on s.doc_id = l.a""",
+)
 def op9(spark, sf_dir):
     return t_occurrence.jaccard_groups(read(spark, sf_dir, "documents"), width=4, percent=85)
 
 
-@query("op3_line_rules")
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+LINE_SQL = f"""with worded as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w from documents
+), windows as (
+  select doc_id, unnest(range(1, len(w) - 1)) as i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) as words
+  from worded where len(w) > 2
+), again as (select doc_id, i from (select *, count(*) over (partition by doc_id, words) as n from windows) where n > 1
+), repeated as (select doc_id, count(distinct i + k) as n from again, (values (0), (1), (2)) t(k) group by doc_id
+), lines as (
+  select doc_id, unnest(string_split(t, chr(10))) as line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') as v from worded
+), judged as (
+  select *, len(v) as n, 100 * (length(line) - length(regexp_replace(line, {_quoted(line_rules.MARKS)}, '', 'g')) - {line_rules.FREE_MARKS})
+      > {line_rules.MARKS_PERCENT} * coalesce(list_sum(list_transform(v, lambda x: length(x))), 0)
+    or (len(v) >= {line_rules.SENTENCE_WORDS} and not regexp_matches(line, {_quoted(line_rules.CLOSED)}))
+    or len(regexp_extract_all(line, {_quoted(line_rules.SEPARATORS)})) >= 2
+    or regexp_matches(line, {_quoted(line_rules.MENU)}) or regexp_matches(line, {_quoted(line_rules.BOILERPLATE)}) as failed
+  from lines where len(v) > 0
+), per_line as (
+  select doc_id, count(*) - count(distinct line) as dup, coalesce(sum(n) filter (where failed), 0) as lost, count(*) filter (where failed) as failing from judged group by doc_id
+), figures as (
+  select doc_id, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+    length(t) - length(regexp_replace(t, {_quoted(line_rules.SYMBOLS)}, '', 'g')) as n_symbols, coalesce(dup, 0) as n_dup_lines,
+    coalesce(r.n, 0) as n_repeat_words, cast(coalesce(lost, 0) as bigint) as lost_words, coalesce(failing, 0) as failed_lines
+  from worded left join per_line using (doc_id) left join repeated r using (doc_id)
+)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 100 * lost_words <= {line_rules.LOSS_PERCENT} * n_words as kept
+from figures"""
+
+
+@query("op3_line_rules", LINE_SQL)
 def op3(spark, sf_dir):
     docs = line_rules.line_first(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.drop("text")

@@ -28,6 +28,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 @query("op2_overlap_tokens")
 def op2(spark, sf_dir):
     return overlap_tokens.token_counts(read(spark, sf_dir, "documents"))
@@ -86,10 +90,6 @@ def op9(spark, sf_dir):
     return t_occurrence.jaccard_groups(read(spark, sf_dir, "documents"), width=4, percent=85)
 
 
-def _quoted(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
 LINE_SQL = f"""with worded as (
   select doc_id, coalesce(text, '') as t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w from documents
 ), windows as (
@@ -232,6 +232,42 @@ def licence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FILES, documents=read(spark, sf_dir, "documents"))
 
 
-@query("op4_license_scan")
+LICENCE_SQL = f"""with files as materialized (
+  select doc_id, coalesce(text, '') as text, case when regexp_matches(string_split(rtrim(text, chr(10)), chr(10))[-1], '(?i)licen[cs]ed? ')
+      then concat_ws('/', source, case when lang = 'en' then null else lang end, 'LICENSE.' || doc_id)
+    else concat_ws('/', source, lang, doc_id || '.txt') end as path, regexp_replace(path, '/?[^/]*$', '') as directory
+  from documents
+), templates(licence, text) as (values {", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in license_scan.TEMPLATES)}
+), shapes as (select licence, term, count(*) as tf from (select licence, unnest(regexp_extract_all(lower(text), '{license_scan.TERM}')) as term from templates) group by all
+), found as (select unnest(list_distinct(regexp_extract_all(lower(text), '{license_scan.TERM}'))) as term from files
+), idfs as materialized (
+  select term, ln((select count(*) + 1.0::double from files) / (count(f.term) + 1.0::double)) + 1.0::double as idf
+  from (select distinct term from shapes) s left join found f using (term) group by term
+), weighed as (
+  select licence, term, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by licence)) as template_weight from shapes join idfs using (term)
+), lines as (
+  select path, row_number() over () as line, words from (select path, unnest(string_split(text, chr(10))) as words from files)
+  where regexp_matches(words, {_quoted(license_scan.ANCHORS)})
+), tfs as (select path, line, term, count(*) as tf from (select path, line, unnest(regexp_extract_all(lower(words), '{license_scan.TERM}')) as term from lines) group by all
+), vectors as (
+  select path, line, term, tf * coalesce(idf, (select ln(count(*) + 1.0::double) + 1.0::double from files)) as weight from tfs left join idfs using (term)
+), lengths as (select path, line, sqrt(sum(weight * weight)) as norm from vectors group by all
+), scores as (
+  select path, licence, round(sum(weight * template_weight) / any_value(norm), 6) as score
+  from vectors join weighed using (term) join lengths using (path, line) group by path, line, licence
+), own as materialized (
+  select path, arg_min(licence, {{'a': -score, 'b': licence}}) as own_licence, max(score) as score from scores where score >= {license_scan.LEAST} group by path
+), speaks as (
+  select regexp_replace(path, '/?[^/]*$', '') as source_directory, arg_min(own_licence, {{'a': -score, 'b': path}}) as licence
+  from own where regexp_matches(string_split(path, '/')[-1], {_quoted(license_scan.LICENCE_FILE)}) group by all
+), above as (
+  select directory, unnest(range(0, len(parts) + 1)) as depth, array_to_string(parts[1:depth], '/') as source_directory
+  from (select distinct directory, string_split(directory, '/') as parts from files)
+), heirs as (select directory, arg_max(licence, depth) as licence, arg_max(source_directory, depth) as source_directory from above join speaks using (source_directory) group by directory)
+select doc_id, f.path, coalesce(own_licence, h.licence) as licence, case when own_licence is null then h.source_directory end as inherited_from
+from files f left join own using (path) left join heirs h using (directory)"""
+
+
+@query("op4_license_scan", LICENCE_SQL)
 def op4(spark, sf_dir):
     return license_scan.scan(licence_files(spark, sf_dir)).select("doc_id", "path", "licence", "inherited_from")

@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Rows with whole texts: a batch, and what a Python worker makes of it, should stay at some megabytes.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 # Rows a table may have before it is no longer broadcast. Tables measured against this limit are narrow

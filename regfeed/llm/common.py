@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from regfeed.session import work_path
 
 # Text that one step inside a Python worker handles at a time; its arrays take about twenty times that.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

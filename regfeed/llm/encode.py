@@ -66,7 +66,7 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids without begin, end or added tokens; special strings inside a text as the library's default has them."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 200_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)

@@ -110,9 +110,8 @@ def most_apart(m, n, percent: int):
     return m + n - 2 * -(-percent * (m + n) // (100 + percent))
 
 
-def may_link(marks: list[np.ndarray], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i > j) that sizes and marks do not rule out."""
-    left, right = [], []
+def may_link(marks: list[np.ndarray], sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that sizes and marks do not rule out, each once, some rows at a time."""
     parts = np.array([len(x) for x in marks])
     for level in np.unique(parts).tolist():
         own, finer = np.flatnonzero(parts == level), np.flatnonzero(parts > level)
@@ -126,9 +125,7 @@ def may_link(marks: list[np.ndarray], sizes: np.ndarray, percent: int) -> tuple[
             # Pairs within the level are met from both sides, pairs with finer ones from this side only.
             fits &= (np.arange(len(rows))[None, :] >= len(own)) | (np.arange(len(rows))[None, :] < np.arange(a, a + len(m))[:, None])
             x, y = np.nonzero(fits)
-            left.append(own[a + x])
-            right.append(rows[y])
-    return np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
+            yield own[a + x], rows[y]
 
 
 def _describe(width: int, percent: int):
@@ -209,10 +206,10 @@ def _list_ties(percent: int):
         out = []
         for _, part in rows.groupby(["shingle", "low", "high"], sort=False):
             ids = part["cls"].to_numpy()
-            x, y = may_link([np.frombuffer(b, np.uint8) for b in part["mark"]], part["n"].to_numpy(), percent)
             forest = Forest(len(ids))
-            for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                forest.union(i, j)
+            for x, y in may_link([np.frombuffer(b, np.uint8) for b in part["mark"]], part["n"].to_numpy(), percent):
+                for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                    forest.union(i, j)
             out.append(pd.DataFrame({"a": ids, "b": ids[[forest.find(k) for k in range(len(ids))]]}))
         every = pd.concat(out)
         return every[every["a"] != every["b"]]

@@ -1,8 +1,8 @@
 """Licences of files: sparse TF-IDF cosine of their statements to templates, then inheritance from the nearest directory.
 
 Every line of a text that has an anchor word is compared with short templates. Terms are words and version numbers;
-inverse document frequencies are counted over all files for the terms that templates have, and any other term weighs as one that
-no file has, so that a sentence that merely mentions a licence stays far from every template. Files named like licence
+inverse document frequencies are counted over all files for the terms of the templates and of the lines compared, so that a verdict
+does not depend on how many files there are. Files named like licence
 files speak for their directory; a file without a licence of its own takes that of its nearest ancestor directory.
 
 Only templates, their terms and directories are joined to files, never files to files. DataFrame expressions throughout.
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regfeed.llm.common import stored
+from regfeed.session import broadcast_if_small
 
 # Usual statements of each licence.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -44,28 +45,40 @@ def templates(spark: SparkSession, given: tuple[tuple[str, str], ...] = TEMPLATE
     return spark.range(1).select(F.inline(rows))
 
 
-def term_weights(files: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """``term, idf`` for each term of the vocabulary and, under NULL, for all others: counted over all files."""
+def term_weights(files: DataFrame, vocabulary: list[str], statements: DataFrame | None = None) -> DataFrame:
+    """``term, idf``, counted over all files, for each term of the vocabulary and of ``statements`` (column ``term``).
+
+    Under NULL: the weight of a term that no file has.
+    """
+    found = F.array_distinct(terms(F.coalesce("text", F.lit(""))))
     known = F.array(*[F.lit(t) for t in vocabulary])
-    seen = files.select(F.array_append(F.array_intersect(terms(F.coalesce("text", F.lit(""))), known), F.lit(None).cast("string")).alias("found"))
-    counts = seen.select(F.explode("found").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    # The entry under NULL counts the files themselves.
-    listed = files.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in vocabulary])).alias("word"))
-    total = counts.where("term is null").select(F.col("n").alias("total"), F.lit(1).alias("_one"))
-    per_term = listed.join(counts.where("term is not null"), F.col("word") == F.col("term"), "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+    listed = files.sparkSession.range(1).select(F.explode(known).alias("word"))
+    if statements is None:
+        found = F.array_intersect(found, known)
+    else:
+        listed = listed.unionByName(statements.select(F.col("term").alias("word"))).distinct()
+    counts = files.select(F.explode(found).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    total = files.agg(F.count("*").alias("total")).withColumn("_one", F.lit(1))
+    per_term = listed.join(counts, F.col("word") == F.col("term"), "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
     other = files.sparkSession.range(1).select(F.lit(None).cast("string").alias("word"), F.lit(0).cast("long").alias("n"))
-    joined = per_term.unionByName(other).withColumn("_one", F.lit(1)).join(total, "_one", "left")
+    joined = per_term.unionByName(other).withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one", "left")
     # One row per term; written once, as several joins read it.
     return stored(joined.select(F.col("word").alias("term"), (F.log((F.coalesce("total", F.lit(0)) + 1.0) / (F.col("n") + 1.0)) + 1.0).alias("idf")), "idf")
 
 
-def own_licences(files: DataFrame, given: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """``path, own_licence, score``: the template closest to one of the file's statements, if its cosine is ``least`` or more."""
+def own_licences(files: DataFrame, given: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST, all_terms: bool = False) -> DataFrame:
+    """``path, own_licence, score``: the template closest to one of the file's statements, if its cosine is ``least`` or more.
+
+    ``all_terms``: the files with a term are counted for all terms of the statements. Otherwise they are for template terms alone and
+    any other term weighs as one that no file has, so that scores fall as files are added.
+    """
     spark = files.sparkSession
     known = templates(spark, given)
     vocabulary = sorted(r["term"] for r in known.select(F.explode(terms(F.col("text"))).alias("term")).distinct().collect())
-    # One row per term of the templates: bounded by their texts.
-    weights = F.broadcast(term_weights(files, vocabulary))
+    lines = files.select("path", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(ANCHORS))).alias("line", "words"))
+    tf = lines.select("path", "line", F.explode(terms(F.col("words"))).alias("term")).groupBy("path", "line", "term").agg(F.count("*").alias("tf"))
+    tf = stored(tf, "statements")
+    weights = term_weights(files, vocabulary, tf if all_terms else None)
     other = weights.where("term is null").select(F.col("idf").alias("_other"), F.lit(1).alias("_one"))
     listed = weights.where("term is not null")
     shape = known.select("licence", F.explode(terms(F.col("text"))).alias("term")).groupBy("licence", "term").agg(F.count("*").alias("tf"))
@@ -73,10 +86,8 @@ def own_licences(files: DataFrame, given: tuple[tuple[str, str], ...] = TEMPLATE
     norms = shape.groupBy("licence").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     shape = stored(shape.join(norms, "licence").select("licence", "term", (F.col("weight") / F.col("norm")).alias("template_weight")).coalesce(1), "templates")
 
-    lines = files.select("path", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(ANCHORS))).alias("line", "words"))
-    tf = lines.select("path", "line", F.explode(terms(F.col("words"))).alias("term")).groupBy("path", "line", "term").agg(F.count("*").alias("tf"))
-    tf = tf.join(listed, "term", "left").withColumn("_one", F.lit(1)).join(F.broadcast(other), "_one")
-    tf = stored(tf.select("path", "line", "term", (F.col("tf") * F.coalesce("idf", "_other")).alias("weight")), "statements")
+    tf = tf.join(broadcast_if_small(listed), "term", "left").withColumn("_one", F.lit(1)).join(F.broadcast(other), "_one")
+    tf = stored(tf.select("path", "line", "term", (F.col("tf") * F.coalesce("idf", "_other")).alias("weight")), "weighed")
     length = tf.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     dots = tf.join(F.broadcast(shape), "term").groupBy("path", "line", "licence").agg(F.sum(F.col("weight") * F.col("template_weight")).alias("dot"))
     cosines = dots.join(length, ["path", "line"]).select("path", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
@@ -112,7 +123,7 @@ def scan(files: DataFrame) -> DataFrame:
     """
     given = files.drop("licence", "inherited_from")
     named = given.withColumn("_path", F.coalesce("path", F.lit("")))
-    own = own_licences(named.select(F.col("_path").alias("path"), "text"))
+    own = own_licences(named.select(F.col("_path").alias("path"), "text"), all_terms=True)
     found = directory_licences(own, named.select(_directory(F.col("_path")).alias("directory")))
     rest = own.select(F.col("path").alias("_path"), "own_licence")
     above = found.select(F.col("directory").alias("_directory"), F.col("licence").alias("_licence"), F.col("from").alias("_from"))

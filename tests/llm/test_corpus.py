@@ -182,6 +182,15 @@ def test_licence_cosines(spark):
     assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in got)
 
 
+def test_licences_hold_when_the_corpus_grows(spark):
+    prose = ["this is for the software and its details", "see this file for what is in the software", "details of this are for those who see it", "nothing to see"]
+    files = [("a.py", "This software is released under the MIT License, see LICENSE for details."), ("b.py", "the license of this software is for those who see it"), *((f"p{k}", t) for k, t in enumerate(prose * 3))]
+    for times in (1, 60):
+        frame = spark.createDataFrame([(f"{k}/{path}", text) for k in range(times) for path, text in files], "path string, text string")
+        got = collections.Counter((r.path.split("/")[1], r.licence) for r in license_scan.scan(frame).collect() if r.path[-1] == "y")
+        assert got == {("a.py", "MIT"): times, ("b.py", None): times}
+
+
 # --- vectors ----------------------------------------------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ A line's level is the number of ``>`` it begins with. Neighbouring lines of one
 is normalised (lower case, runs of blanks as one) and hashed. A quoted passage is joined to the first message of the same
 conversation that has it as its own, whole or as one line, and comes before. First messages are a table with one row
 per conversation and passage, so the join never multiplies rows, and a passage that very many messages repeat is one row there.
+A passage without such a message, as one with lines left out, is linked to the first message before that has all its lines.
 
 A message replies to the message that its least deeply quoted linked passage is from (of several, the latest). Threads follow from
 doubling: each round joins what is reached with what is reached from there, so a chain of n replies takes log n rounds.
@@ -37,14 +38,15 @@ def quote_lines(messages: DataFrame) -> DataFrame:
 
 
 def passages(lines: DataFrame) -> DataFrame:
-    """``msg, conv_id, turn, level, first, size, passage``: hash of each run of lines with words at one level, and its line count."""
+    """``msg, conv_id, turn, level, first, size, passage, parts``: hash of each run of lines with words at one level, its line count and the lines' hashes."""
     by_message = Window.partitionBy("msg").orderBy("line")  # the lines of one message
     solid = lines.withColumn("norm", normal(F.col("words")))
     solid = solid.withColumn("_run", F.when((F.lag("level").over(by_message) == F.col("level")) & (F.lag("norm").over(by_message) != ""), 0).otherwise(1))
     solid = solid.withColumn("_run", F.sum("_run").over(by_message)).where("norm != ''")
     gathered = solid.groupBy("msg", "conv_id", "turn", "level", "_run").agg(F.array_sort(F.collect_list(F.struct("line", "norm"))).alias("rows"))
     text = F.array_join(F.transform("rows", lambda r: r["norm"]), " ")
-    return gathered.select("msg", "conv_id", "turn", "level", F.col("rows")[0]["line"].alias("first"), F.size("rows").alias("size"), F.md5(text.cast("binary")).alias("passage"))
+    parts = F.array_distinct(F.transform("rows", lambda r: F.md5(r["norm"].cast("binary"))))
+    return gathered.select("msg", "conv_id", "turn", "level", F.col("rows")[0]["line"].alias("first"), F.size("rows").alias("size"), F.md5(text.cast("binary")).alias("passage"), parts.alias("parts"))
 
 
 def links(quoted: DataFrame, own: DataFrame, single: DataFrame) -> DataFrame:
@@ -55,6 +57,27 @@ def links(quoted: DataFrame, own: DataFrame, single: DataFrame) -> DataFrame:
     return found.withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))
 
 
+def trimmed(linked: DataFrame, single: DataFrame) -> DataFrame:
+    """``linked`` with ``original`` also for passages without one: the first message before that has all their lines, wherever they stand in it.
+
+    Equal passages of a conversation are looked up once, among the messages that have the line which the fewest have.
+    """
+    asked = linked.where("original is null and size > 1 and conv_id is not null and turn is not null").select("conv_id", "passage", "parts")
+    if asked.isEmpty():
+        return linked
+    asked = asked.dropDuplicates(["conv_id", "passage"]).select("conv_id", "passage", F.size("parts").alias("wanted"), F.explode("parts").alias("part"))
+    held = single.where("turn is not null").select("conv_id", "turn", F.col("passage").alias("part")).join(asked, ["conv_id", "part"], "left_semi")
+    held = stored(held.distinct(), "held")
+    spread = asked.join(held.groupBy("conv_id", "part").agg(F.count("*").alias("n")), ["conv_id", "part"])
+    rarest = spread.groupBy("conv_id", "passage").agg(F.min_by("part", F.struct("n", "part")).alias("part"), F.count("*").alias("_found"), F.first("wanted").alias("wanted"))
+    some = rarest.where("_found = wanted").join(held, ["conv_id", "part"]).select("conv_id", "passage", "turn")
+    both = some.join(asked, ["conv_id", "passage"]).join(held, ["conv_id", "turn", "part"], "left_semi")
+    whole = both.groupBy("conv_id", "passage", "turn").agg(F.count("*").alias("n"), F.first("wanted").alias("wanted")).where("n = wanted")
+    first = whole.groupBy("conv_id", "passage").agg(F.min("turn").alias("_holder"))
+    found = linked.join(first, ["conv_id", "passage"], "left")
+    return found.withColumn("original", F.coalesce("original", F.when(F.col("_holder") < F.col("turn"), F.col("_holder")))).drop("_holder")
+
+
 def threads(parents: DataFrame) -> DataFrame:
     """``conv_id, turn, thread, depth`` for each (conv_id, turn) with an earlier ``parent``: the turn its chain begins at, and its length."""
     reached = stored(parents.select("conv_id", "turn", F.col("parent").alias("thread"), F.lit(1).alias("depth")), "threads")
@@ -86,7 +109,8 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     found = passages(lines)
     single = lines.where("level = 0").withColumn("norm", normal(F.col("words"))).where("norm != ''")
     single = single.select("conv_id", "turn", F.md5(F.col("norm").cast("binary")).alias("passage"))
-    linked = stored(links(found.where("level > 0"), found.where("level = 0"), single), "links")
+    linked = stored(links(found.where("level > 0"), found.where("level = 0"), single), "whole-links")
+    linked = stored(trimmed(linked, single), "links")
 
     per_message = linked.groupBy("msg").agg(
         F.count("*").alias("n_quoted"), F.count("original").alias("n_linked"), F.max("level").alias("deepest"),

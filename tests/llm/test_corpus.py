@@ -93,6 +93,21 @@ def test_long_reply_chains(spark):
     assert {(r.turn, r.depth, r.thread, r.position) for r in got} == {(k, k, 0, k) for k in range(40)}
 
 
+def test_trimmed_quotes_link(spark):
+    rows = [
+        (1, 0, "b one\nx\nhi"), (1, 1, "a one\nb one"), (1, 2, "A one\nb  one\nc one\n\nlast"), (1, 3, "> a one\n> c one\nlines left out"),
+        (1, 4, ">> b one\n>> c one\n> lines left out\nend cut"), (1, 5, "> c one\n> last\nover a gap"), (1, 6, "> c one\n> nowhere\nno such line"),
+        (1, 7, "> hi\n> c one\nno message has both"), (1, 8, "> y\n> z\ncomes later"), (1, 9, "z\nq\ny"), (2, 0, "> c one\n> last"), (None, 0, "> c one\n> last"), (1, 10, "> b one\n> b one\n> a one"),
+        (1, 11, "> y\n> z"),
+    ]
+    got = quote_links.reply_order(spark.createDataFrame([(c, t, "a", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows)
+    assert {r.turn: (r.reply_to, r.n_linked, r.thread, r.depth) for r in got if r.conv_id == 1 and r.turn > 2} == {
+        3: (2, 1, 2, 1), 4: (3, 2, 2, 2), 5: (2, 1, 2, 1), 6: (None, 0, 6, 0), 7: (None, 0, 7, 0), 8: (None, 0, 8, 0), 9: (None, 0, 9, 0), 10: (1, 1, 1, 1), 11: (9, 1, 9, 1),
+    }
+    assert {r.n_linked for r in got if r.conv_id != 1} == {0}
+
+
 # --- line rules -------------------------------------------------------------------------------------------------------
 
 

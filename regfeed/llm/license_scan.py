@@ -1,7 +1,9 @@
 """Licences of files: sparse TF-IDF cosine of their statements to templates, then inheritance from the nearest directory.
 
-Every line of a text that has an anchor word is compared with short templates. Terms are words and version numbers;
-inverse document frequencies are counted over all files for the terms of the templates and of the lines compared, so that a verdict
+Every line of a text that has an anchor word is compared with short templates. The comment that a file begins with, and the whole text of
+a file named like a licence file, are compared with them and with the usual headers and full texts of licences; a header or full text that fits
+counts before any single line. Terms are words and version numbers;
+inverse document frequencies are counted over all files for the terms of the templates and of what is compared, so that a verdict
 does not depend on how many files there are. Files named like licence
 files speak for their directory; a file without a licence of its own takes that of its nearest ancestor directory.
 
@@ -10,6 +12,8 @@ Only templates, their terms and directories are joined to files, never files to
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +34,33 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Proprietary", "All rights reserved."),
     ("Unlicense", "Released into the public domain under the Unlicense."),
 )
+# Notices that licences ask for at the head of a file, and full texts (``licence_texts``).
+_GNU = """This {what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software
+Foundation, either version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.
+You should have received a copy of the {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."""
+HEADERS: tuple[tuple[str, str], ...] = (
+    *(
+        (licence, _GNU.format(what=what, name=f"GNU {kind}General Public License", version=licence.split("-")[1].removesuffix(".0")))
+        for what in ("program", "library")
+        for licence, kind in (("AGPL-3.0", "Affero "), ("GPL-2.0", ""), ("GPL-3.0", ""), ("LGPL-2.1", "Lesser "), ("LGPL-3.0", "Lesser "))
+    ),
+    (
+        "Apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain
+a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under
+the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+language governing permissions and limitations under the License.""",
+    ),
+    (
+        "MPL-2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file,
+You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    ),
+)
+TEXTS: tuple[tuple[str, str], ...] = tuple((f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")))
+BLOCK_COMMENT = r"(?s)^\s*+(?:#![^\n]*+\n\s*+)?+(?:/\*.*?\*/|<!--.*?-->|\x22{3}.*?\x22{3}|\x27{3}.*?\x27{3})"
+LINE_COMMENT = r"^[ \t\r]*(?:$|#|//|--|;|%|\(\*|(?i:rem)\b)"
 ANCHORS = r"(?i)licen[cs]e|copyright|public domain|rights reserved|\bcc[ -]?(by|0)\b|\bspdx\b|\b[al]?gpl\b"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([-._].*)?$"
@@ -45,19 +76,25 @@ def templates(spark: SparkSession, given: tuple[tuple[str, str], ...] = TEMPLATE
     return spark.range(1).select(F.inline(rows))
 
 
-def term_weights(files: DataFrame, vocabulary: list[str], statements: DataFrame | None = None) -> DataFrame:
-    """``term, idf``, counted over all files, for each term of the vocabulary and of ``statements`` (column ``term``).
+def leading_comment(text: Column) -> Column:
+    """The comment that a text begins with, after blank lines and a ``#!`` line; '' without one."""
+    lines = F.filter(F.split(text, "\n"), lambda x: ~x.startswith("#!"))
+    end = F.array_position(F.transform(lines, lambda x: ~x.rlike(LINE_COMMENT)), True)
+    head = F.array_join(F.slice(lines, 1, F.when(end > 0, end.cast("int") - 1).otherwise(F.size(lines))), "\n")
+    block = F.regexp_extract(text, BLOCK_COMMENT, 0)
+    return F.when(text.rlike(r"^\s*+(?:#![^\n]*+\n\s*+)?+(?:/\*|<!--|\x22{3}|\x27{3})"), block).when(text.rlike(r"^\s*+(?:#|//|--|;|%|\(\*|(?i:rem)\b)"), head).otherwise("")
+
 
-    Under NULL: the weight of a term that no file has.
+def term_weights(files: DataFrame, vocabulary: DataFrame, template_terms: list[str] | None = None) -> DataFrame:
+    """``term, idf``, counted over all files, for each term of ``vocabulary`` (column ``term``, may repeat).
+
+    ``template_terms``: the whole vocabulary where it is short. Under NULL: the weight of a term that no file has.
     """
     found = F.array_distinct(terms(F.coalesce("text", F.lit(""))))
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    listed = files.sparkSession.range(1).select(F.explode(known).alias("word"))
-    if statements is None:
-        found = F.array_intersect(found, known)
-    else:
-        listed = listed.unionByName(statements.select(F.col("term").alias("word"))).distinct()
+    if template_terms is not None:
+        found = F.array_intersect(found, F.array(*[F.lit(t) for t in template_terms]))
     counts = files.select(F.explode(found).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    listed = vocabulary.select(F.col("term").alias("word")).distinct()
     total = files.agg(F.count("*").alias("total")).withColumn("_one", F.lit(1))
     per_term = listed.join(counts, F.col("word") == F.col("term"), "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
     other = files.sparkSession.range(1).select(F.lit(None).cast("string").alias("word"), F.lit(0).cast("long").alias("n"))
@@ -66,32 +103,51 @@ def term_weights(files: DataFrame, vocabulary: list[str], statements: DataFrame
     return stored(joined.select(F.col("word").alias("term"), (F.log((F.coalesce("total", F.lit(0)) + 1.0) / (F.col("n") + 1.0)) + 1.0).alias("idf")), "idf")
 
 
-def own_licences(files: DataFrame, given: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST, all_terms: bool = False) -> DataFrame:
+def own_licences(files: DataFrame, given: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST, whole: bool = False) -> DataFrame:
     """``path, own_licence, score``: the template closest to one of the file's statements, if its cosine is ``least`` or more.
 
-    ``all_terms``: the files with a term are counted for all terms of the statements. Otherwise they are for template terms alone and
-    any other term weighs as one that no file has, so that scores fall as files are added.
+    ``whole``: leading comments and licence files are compared too, also with ``HEADERS`` and ``TEXTS``, and the files with a term are counted
+    for all terms compared. Otherwise they are for template terms alone and any other term weighs as one that no file has, so that
+    scores fall as files are added.
     """
     spark = files.sparkSession
-    known = templates(spark, given)
-    vocabulary = sorted(r["term"] for r in known.select(F.explode(terms(F.col("text"))).alias("term")).distinct().collect())
-    lines = files.select("path", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(ANCHORS))).alias("line", "words"))
+    text = F.coalesce("text", F.lit(""))
+    known = templates(spark, given).withColumn("long", F.lit(False))
+    lines = files.select("path", F.posexplode(F.filter(F.split(text, "\n"), lambda x: x.rlike(ANCHORS))).alias("line", "words"))
+    if whole:
+        notices = templates(spark, HEADERS).withColumn("long", F.lit(True))
+        texts = templates(spark, TEXTS).withColumn("long", F.lit(True))
+        known = known.unionByName(notices).unionByName(texts)
+        named = F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE)
+        # Below 0: whole texts and comments instead of a line.
+        blocks = F.array(F.struct(F.lit(-2).alias("line"), F.when(named, text).alias("words")), F.struct(F.lit(-1).alias("line"), leading_comment(text).alias("words")))
+        lines = lines.unionByName(files.select("path", F.inline(blocks)).where("words != ''"))
+    # Licences have several templates, each a vector of its own.
+    parts = known.withColumn("template", F.md5(F.concat_ws(" ", "licence", "text").cast("binary")))
+    parts = parts.select("template", "licence", "long", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "licence", "long", "term").agg(F.count("*").alias("tf"))
+    parts = stored(parts.coalesce(1), "template-terms")
     tf = lines.select("path", "line", F.explode(terms(F.col("words"))).alias("term")).groupBy("path", "line", "term").agg(F.count("*").alias("tf"))
     tf = stored(tf, "statements")
-    weights = term_weights(files, vocabulary, tf if all_terms else None)
+    if whole:
+        weights = term_weights(files, tf.select("term").unionByName(parts.select("term")))
+    else:
+        weights = term_weights(files, parts, sorted(r["term"] for r in parts.select("term").distinct().collect()))
     other = weights.where("term is null").select(F.col("idf").alias("_other"), F.lit(1).alias("_one"))
     listed = weights.where("term is not null")
-    shape = known.select("licence", F.explode(terms(F.col("text"))).alias("term")).groupBy("licence", "term").agg(F.count("*").alias("tf"))
-    shape = shape.join(listed, "term").select("licence", "term", (F.col("tf") * F.col("idf")).alias("weight"))
-    norms = shape.groupBy("licence").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    shape = stored(shape.join(norms, "licence").select("licence", "term", (F.col("weight") / F.col("norm")).alias("template_weight")).coalesce(1), "templates")
+    shape = F.broadcast(parts).join(listed, "term").select("template", "licence", "long", "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    norms = shape.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    shape = shape.join(norms, "template").select("template", "licence", "long", "term", (F.col("weight") / F.col("norm")).alias("template_weight"))
+    shape = stored(shape.coalesce(1), "templates")
 
     tf = tf.join(broadcast_if_small(listed), "term", "left").withColumn("_one", F.lit(1)).join(F.broadcast(other), "_one")
     tf = stored(tf.select("path", "line", "term", (F.col("tf") * F.coalesce("idf", "_other")).alias("weight")), "weighed")
     length = tf.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = tf.join(F.broadcast(shape), "term").groupBy("path", "line", "licence").agg(F.sum(F.col("weight") * F.col("template_weight")).alias("dot"))
-    cosines = dots.join(length, ["path", "line"]).select("path", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
-    best = cosines.where(F.col("score") >= least).groupBy("path").agg(F.max("score").alias("score"), F.min_by("licence", F.struct(-F.col("score"), "licence")).alias("own_licence"))
+    # Single lines are compared with short templates only.
+    met = tf.alias("a").join(F.broadcast(shape.alias("b")), (F.col("a.term") == F.col("b.term")) & ((F.col("line") < 0) | ~F.col("long")))
+    dots = met.groupBy("path", "line", "template", "licence", "long").agg(F.sum(F.col("weight") * F.col("template_weight")).alias("dot"))
+    cosines = dots.join(length, ["path", "line"]).select("path", "licence", "long", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    order = F.struct(~F.col("long"), -F.col("score"), F.col("licence"))
+    best = cosines.where(F.col("score") >= least).groupBy("path").agg(F.min_by("score", order).alias("score"), F.min_by("licence", order).alias("own_licence"))
     return stored(best.select("path", "own_licence", "score"), "own")
 
 
@@ -123,7 +179,7 @@ def scan(files: DataFrame) -> DataFrame:
     """
     given = files.drop("licence", "inherited_from")
     named = given.withColumn("_path", F.coalesce("path", F.lit("")))
-    own = own_licences(named.select(F.col("_path").alias("path"), "text"), all_terms=True)
+    own = own_licences(named.select(F.col("_path").alias("path"), "text"), whole=True)
     found = directory_licences(own, named.select(_directory(F.col("_path")).alias("directory")))
     rest = own.select(F.col("path").alias("_path"), "own_licence")
     above = found.select(F.col("directory").alias("_directory"), F.col("licence").alias("_licence"), F.col("from").alias("_from"))

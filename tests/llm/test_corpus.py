@@ -206,6 +206,22 @@ def test_licences_hold_when_the_corpus_grows(spark):
         assert got == {("a.py", "MIT"): times, ("b.py", None): times}
 
 
+def test_headers_and_licence_files(spark):
+    gnu = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details."
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0'
+    texts = dict(license_scan.TEXTS)
+    hashed = lambda x: "\n".join(f"# {line}".rstrip() for line in x.split("\n"))
+    prose = "one whole paragraph of the usual words that a text is made of, and as it is with them, any of these may be or not be in the other texts. " * 20
+    files = {
+        "g/a.py": ("#!/usr/bin/python\n" + hashed(gnu) + "\nimport os\n", "GPL-3.0"), "g/b.c": ("/*\n * Copyright 2024 J. Doe\n *\n" + gnu.replace("General", "Lesser General") + " */\nint x;", "LGPL-3.0"),
+        "g/c.js": ("\n// " + apache.replace("\n", "\n// ") + "\nlet x = 1", "Apache-2.0"), "g/d.py": ("x = 1\n" + hashed(prose), None), "g/e.sql": ("-- Released under\n-- the MIT License.\nselect 1", "MIT"),
+        "h/f.txt": (prose, None), "q/LICENSE": (prose, None), "g/open.c": ("/* never closed", None), "g/blank.py": ("\n" * 50_000 + "#" * 50_000 + "\n/*" + "x " * 50_000, None),
+        **{f"{name}/COPYING": ("Copyright (c) 2024 Jane Doe\nAll rights reserved.\n\n" + text, name) for name, text in texts.items()},
+    }
+    frame = spark.createDataFrame([(path, text) for path, (text, _) in files.items()], "path string, text string")
+    assert {r.path: r.licence for r in license_scan.scan(frame).collect()} == {path: licence for path, (_, licence) in files.items()}
+
+
 # --- vectors ----------------------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regfeed.llm import curriculum, histogram_pack, huffman_ids, hyperplane_dedup, license_scan, line_rules, nbsvm, overlap_tokens, quote_links, t_occurrence
+from regfeed.llm import curriculum, histogram_pack, huffman_ids, hyperplane_dedup, license_scan, line_rules, nbsvm, norm_topk, overlap_tokens, quote_links, shared_lists, t_occurrence, trie_codes
 from regfeed.llm.common import read
 from regfeed.session import tune
 
@@ -271,3 +271,69 @@ from files f left join own using (path) left join heirs h using (directory)"""
 @query("op4_license_scan", LICENCE_SQL)
 def op4(spark, sf_dir):
     return license_scan.scan(licence_files(spark, sf_dir)).select("doc_id", "path", "licence", "inherited_from")
+
+
+def _whole_sql(scale: int, *others: str) -> str:
+    """Vectors without NULL or non-finite components, as lists of whole numbers in double precision."""
+    return f"""select {", ".join(["vec_id", *others])}, list_transform(embedding, lambda x: floor({scale} * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0"""
+
+
+@query(
+    "op11_shared_lists",
+    f"""with rows_ as materialized (select * replace (case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label) from ({_whole_sql(256, "label")}) where label is not null
+), scores as materialized (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score
+  from rows_ a join rows_ b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as integer) as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from positives join scores using (anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 5""",
+)
+def op11(spark, sf_dir):
+    return shared_lists.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql() -> str:
+    """Rounds of the codebooks, one after the other. ``nearest`` of a round names for each part its entry and squared distance."""
+    ctes = [
+        f"rows_ as materialized ({_whole_sql(1_024, 'label')})",
+        "parts as materialized (select vec_id, p, v[1 + p * len(v) // 4 : (p + 1) * len(v) // 4] as part, list_dot_product(part, part) as own from rows_, range(4) t(p))",
+        "book0 as materialized (select p, row_number() over (partition by p order by vec_id) - 1 as e, part as entry, own as size from parts qualify e < 256)",
+    ]
+    for k in range(trie_codes.ROUNDS + 1):
+        ctes.append(f"""nearest{k} as materialized (select vec_id, p, arg_min(e, (d, e)) as e, min(d) as d from (
+    select vec_id, p, e, own - 2 * list_dot_product(part, entry) + size as d from parts join book{k} using (p)) group by vec_id, p)""")
+        if k < trie_codes.ROUNDS:
+            ctes.append(f"""means{k} as (select p, e, list(m order by i) as mean from (
+    select p, e, i, floor(sum(part[i]) / count(*)) as m from parts join nearest{k} using (vec_id, p), range(1, 1 + (select max(len(part)) from parts)) t(i) group by p, e, i) group by p, e)""")
+            ctes.append(f"""book{k + 1} as materialized (select p, e, coalesce(mean, entry) as entry, list_dot_product(coalesce(mean, entry), coalesce(mean, entry)) as size
+    from book{k} left join means{k} using (p, e))""")
+    last = trie_codes.ROUNDS
+    return f"""with {", ".join(ctes)}, digest as (
+  select coalesce(sha256(string_agg(list_aggregate(list_transform(entry, lambda x: cast(cast(x as bigint) as varchar)), 'string_agg', ','), ',' order by p, e)), '') as codebooks_sha256 from book{last}
+), coded as (
+  select vec_id, string_agg(printf('%02x', e), '' order by p) as code, cast(sum(d) as bigint) as error from nearest{last} group by vec_id
+)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from coded join rows_ using (vec_id), digest"""
+
+
+@query("op12_trie_codes", _codes_sql())
+def op12(spark, sf_dir):
+    codes, books = trie_codes.compress(read(spark, sf_dir, "embeddings"))
+    return codes.withColumn("codebooks_sha256", F.lit(trie_codes.digest(books)))
+
+
+@query(
+    "op13_norm_topk",
+    f"""with rows_ as materialized ({_whole_sql(64)})
+select q.vec_id as query_id, cast(row_number() over (partition by q.vec_id order by list_dot_product(q.v, x.v) desc, x.vec_id) as integer) as rank,
+  x.vec_id, cast(list_dot_product(q.v, x.v) as bigint) as score
+from rows_ q join rows_ x on q.vec_id % 20 = 0 and q.vec_id <> x.vec_id qualify rank <= 20""",
+)
+def op13(spark, sf_dir):
+    return norm_topk.top_inner_products(read(spark, sf_dir, "embeddings"))

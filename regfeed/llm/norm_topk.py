@@ -72,7 +72,7 @@ def search_segment(x: Block, head: np.ndarray, tail: np.ndarray, q: Block, q_hea
                 [(q.ints[open_[i[s : s + 65_536]]].astype(np.int64) * x.ints[a + j[s : s + 65_536]]).sum(1) for s in range(0, len(i), 65_536)]
             )
         member, ids = open_[i], x.ids[a + j]
-        keep = (score >= best.least[member]) & (ids != q.ids[member])
+        keep = ids != q.ids[member]
         best.add(member[keep], score[keep], ids[keep])
         best.settle()
 
@@ -85,7 +85,7 @@ def _search(fitted: dict[int, np.ndarray], k: int):
             if held[0] is not segment:
                 held[:] = segment, *turned(segment.ints, segment.norms, fitted.get(segment.size))
             q = Block(row)
-            best = Best(k, q.floats("least", np.int64))
+            best = Best(k, q.floats("least", np.int64), q.floats("least_id", np.int64))
             search_segment(segment, held[1], held[2], q, *turned(q.ints, q.norms, fitted.get(q.size)), best)
             yield pa.RecordBatch.from_pydict({"query_id": q.ids[best.member], "vec_id": best.id, "score": best.score})
 
@@ -100,13 +100,14 @@ def _lengths(table: pa.Table, ints: np.ndarray) -> dict:
 
 def _demands(table: pa.Table, ints: np.ndarray) -> dict:
     """Known thresholds, and the least length a vector must have to matter to any query of the block."""
-    return {"least": table.column("least").to_numpy().astype(np.int64).tobytes(), "need": float(np.min(table.column("need").to_numpy()))}
+    known = {c: table.column(c).to_numpy().astype(np.int64).tobytes() for c in ("least", "least_id")}
+    return known | {"need": float(np.min(table.column("need").to_numpy()))}
 
 
 def _blocks(queries: DataFrame) -> DataFrame:
     """Queries that need vectors of like length share a block."""
     ordered = queries.repartitionByRange("size", F.col("need").desc(), "vec_id").sortWithinPartitions("size", F.col("need").desc(), "vec_id")
-    return stored(packed(ordered, ["size"], BLOCK, "least binary, need double", _demands), "query-blocks")
+    return stored(packed(ordered, ["size"], BLOCK, "least binary, least_id binary, need double", _demands), "query-blocks")
 
 
 def top_inner_products(vectors: DataFrame, query_every: int = 20, k: int = 20, scale: int = 64) -> DataFrame:
@@ -127,14 +128,16 @@ def top_inner_products(vectors: DataFrame, query_every: int = 20, k: int = 20, s
 
     schema = "query_id long, vec_id long, score long"
     queries = rows.where(F.col("vec_id") % query_every == 0)
-    unknown = queries.withColumns({"least": F.lit(int(NOTHING)), "need": F.lit(0.0)})
+    nothing = {"least": F.lit(int(NOTHING)), "least_id": F.lit((1 << 63) - 1)}
+    unknown = queries.withColumns(nothing | {"need": F.lit(0.0)})
     blocks = _blocks(unknown)
     pairs = blocks.select(F.col("part").alias("block"), "size").join(broadcast_if_small(first), F.col("size") == F.col("_size"))
     lead = stored(met(blocks, pairs, segments, _search(fitted, k), schema, ["need"]), "first-hits")
 
     # The k-th best of the longest vectors is what any other must reach.
-    reached = ranked(lead, ["query_id"], k, "score", "vec_id").where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
-    known = queries.join(reached, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(int(NOTHING))))
+    reached = ranked(lead, ["query_id"], k, "score", "vec_id").where(F.col("rank") == k)
+    reached = reached.select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"), F.col("vec_id").alias("least_id"))
+    known = queries.join(reached, "vec_id", "left").withColumns({c: F.coalesce(c, v) for c, v in nothing.items()})
     need = F.when((F.col("least") > 0) & (F.col("norm") > 0), F.col("least") / F.col("norm") * (1 - SLACK)).otherwise(0.0)
     blocks = _blocks(known.withColumn("need", need))
     others = summary.join(broadcast_if_small(first.select("segment")), "segment", "left_anti")

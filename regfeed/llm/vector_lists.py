@@ -148,15 +148,20 @@ def packed(rows: DataFrame, same: list[str], most: int, more: str = "", extra: C
 class Best:
     """The best ``k`` (score, id) of each member so far: higher scores first, then smaller ids.
 
-    ``least`` is the score a member's next hit must reach. It starts with what the caller knows and only rises.
+    ``least`` is the score a member's next hit must reach, with an id below ``least_id`` if it has that very score. They start
+    with what the caller knows and only get stricter, so equal rows beyond the first k are not kept.
     """
 
-    def __init__(self, k: int, least: np.ndarray):
+    def __init__(self, k: int, least: np.ndarray, least_id: np.ndarray | None = None):
         self.k, self.least = k, least.astype(np.int64, copy=True)
+        self.least_id = np.full(len(least), np.iinfo(np.int64).max) if least_id is None else least_id.astype(np.int64, copy=True)
         self.member, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
         self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, member: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        least = self.least[member]
+        better = (score > least) | ((score == least) & (ids < self.least_id[member]))
+        member, score, ids = member[better], score[better], ids[better]
         if len(member):
             self.waiting.append((member.astype(np.int64), score, ids))
 
@@ -169,7 +174,8 @@ class Best:
         member, score, ids = member[order], score[order], ids[order]
         rank = np.arange(len(member)) - np.searchsorted(member, member)
         last = rank == self.k - 1
-        self.least[member[last]] = np.maximum(self.least[member[last]], score[last])
+        # Only better hits than those known come in, so the k-th of them is stricter than what was known before.
+        self.least[member[last]], self.least_id[member[last]] = score[last], ids[last]
         keep = rank < self.k
         self.member, self.score, self.id = member[keep], score[keep], ids[keep]
 

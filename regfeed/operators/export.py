@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regfeed import feeds as feed_names
 from regfeed.functions.timeutil import utc_day
 from regfeed.session import broadcast_if_small
+from regfeed.sources import folders
+from regfeed.sources.committed import Log, Version
 
 NO_KIND = "__none__"
-PARTITIONS = ("stream", "resource_kind", "span", "uploaded_day")
+PARTITIONS = ("run", "stream", "resource_kind", "uploaded_day")
 # Records per archive file; about 25 MB of JSON at a few hundred bytes an event.
 RECORDS_PER_FILE = 100_000
 
@@ -58,41 +60,80 @@ def kind_counts(rows: DataFrame) -> DataFrame:
     return with_kind(rows).groupBy("stream_path", "resource_kind").agg(F.count(F.lit(1)).alias("events"))
 
 
-def spans(rows: DataFrame, cutoff: DataFrame) -> DataFrame:
-    """Name of what one run exports of each feed and kind: its first position and the cutoff. One row per feed and kind."""
-    first = with_kind(rows).groupBy("stream_path", "resource_kind").agg(F.min("timepoint").alias("_first"))
-    named = first.join(broadcast_if_small(cutoff), "stream_path")
-    return named.select("stream_path", "resource_kind", F.concat_ws("-", "_first", "cutoff").alias("span"))
+def window_kinds(rows: DataFrame) -> DataFrame:
+    """Per feed and kind what is to be exported: rows, first and last position, and a digest of keys and texts.
 
+    Windows, counts and the name of the run all follow from this one pass. The digest does not depend on the order of rows.
+    """
+    text = F.xxhash64("stream_path", "timepoint", "published_at", "event_data")
+    return with_kind(rows).groupBy("stream_path", "resource_kind").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.min("timepoint").alias("min_timepoint"),
+        F.max("timepoint").alias("max_timepoint"),
+        F.bit_xor(text).alias("digest"),
+    )
+
+
+def windows(kinds: DataFrame) -> DataFrame:
+    """``window_check`` from the sums per kind."""
+    return kinds.groupBy("stream_path").agg(
+        F.sum("events").alias("events"), F.min("min_timepoint").alias("min_timepoint"), F.max("max_timepoint").alias("max_timepoint")
+    ).withColumn("contiguous", F.col("events") == F.col("max_timepoint") - F.col("min_timepoint") + 1)
 
-def write_archive(rows: DataFrame, spans: DataFrame, path: str, uploaded_day: dt.date, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write rows under stream= / resource_kind= / span= / uploaded_day=, in position order.
+
+def run_name(kinds: DataFrame, uploaded_day: dt.date) -> str | None:
+    """Name of what is exported: the day and a digest of all rows, so only the same rows of the same day have the same name. None if nothing is."""
+    each = F.xxhash64("stream_path", "resource_kind", "events", "min_timepoint", "max_timepoint", "digest")
+    total = kinds.agg(F.bit_xor(each).alias("x"), F.sum("events").alias("n")).first()
+    return f"{uploaded_day:%Y%m%d}-{total['n']}-{total['x'] & (1 << 64) - 1:016x}" if total["n"] else None
+
+
+def write_archive(rows: DataFrame, path: str, run: str, uploaded_day: dt.date, records_per_file: int = RECORDS_PER_FILE) -> None:
+    """Write rows under run= / stream= / resource_kind= / uploaded_day=, in position order. They are not visible before the run is logged.
 
     Range partitioning on (feed, kind, position) spreads one busy feed over many tasks and keeps the files of a
-    feed and kind apart in position. Only the folders written are replaced: the same window replaces itself, and another
-    window of the same day is added beside it.
+    feed and kind apart in position.
     """
-    keyed = with_kind(rows).join(broadcast_if_small(spans), ["stream_path", "resource_kind"])
-    keyed = keyed.withColumnRenamed("stream_path", "stream").withColumn("uploaded_day", F.lit(uploaded_day))
-    ranged = keyed.repartitionByRange("stream", "resource_kind", "timepoint").sortWithinPartitions(*PARTITIONS, "timepoint")
-    (
-        ranged.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", records_per_file)
-        .partitionBy(*PARTITIONS)
-        .parquet(path)
-    )
+    folders_ = PARTITIONS[1:]
+    keyed = with_kind(rows).withColumnRenamed("stream_path", "stream").withColumn("uploaded_day", F.lit(uploaded_day))
+    ranged = keyed.repartitionByRange("stream", "resource_kind", "timepoint").sortWithinPartitions(*folders_, "timepoint")
+    ranged.write.mode("errorifexists").option("maxRecordsPerFile", records_per_file).partitionBy(*folders_).parquet(f"{path}/run={run}")
 
 
 ARCHIVE_SCHEMA = (
-    "timepoint bigint, published_at timestamp_ntz, event_data string, stream string, resource_kind string, span string, uploaded_day date"
+    "timepoint bigint, published_at timestamp_ntz, event_data string, run string, stream string, resource_kind string, uploaded_day date"
 )
+MANIFEST_SCHEMA = "stream string, resource_kind string, file string, events bigint, min_timepoint bigint, max_timepoint bigint, difference bigint, matches boolean"
+# What the log of an archive says of each feed and kind of a run, and of the buffer it came from.
+RUN_SCHEMA = "source string, buffer_version bigint, stream_path string, resource_kind string, low bigint, high bigint"
 
 
-def read_archive(spark: SparkSession, path: str, schema: str | None = ARCHIVE_SCHEMA) -> DataFrame:
-    """The archive with partition columns from the path; filters on them skip whole folders."""
+def archive_log(spark: SparkSession, path: str) -> Log:
+    """Runs of an archive. A version's kind is the name of what was exported, its run the attempt whose files hold it."""
+    return Log(spark, f"{path}/_log", RUN_SCHEMA)
+
+
+def visible_runs(spark: SparkSession, path: str) -> list[Version]:
+    """One attempt for each name: a later attempt at the same rows replaces the one before it."""
+    newest = {v.kind: v for v in archive_log(spark, path).versions()}
+    return sorted(newest.values(), key=lambda v: v.number)
+
+
+def read_archive(spark: SparkSession, path: str, schema: str | None = ARCHIVE_SCHEMA, run: str | None = None) -> DataFrame:
+    """The visible runs of the archive (or one run) with partition columns from the path; filters on them skip whole folders."""
+    runs = [run] if run else [v.run for v in visible_runs(spark, path)]
+    # A run without rows has no folders.
+    paths = [f"{path}/run={r}" for r in runs if any(n.startswith("stream=") for n in folders.names(spark, f"{path}/run={r}"))]
+    if not paths:
+        return spark.createDataFrame([], schema or ARCHIVE_SCHEMA)
     reader = spark.read.option("basePath", path)
-    return (reader.schema(schema) if schema else reader).parquet(path)
+    return (reader.schema(schema) if schema else reader).parquet(*paths)
+
+
+def unlisted_runs(spark: SparkSession, path: str) -> list[str]:
+    """Folders of attempts that failed or were replaced; nothing reads them any more."""
+    listed = {f"run={v.run}" for v in visible_runs(spark, path)}
+    return [n for n in folders.names(spark, path) if n.startswith("run=") and n not in listed]
 
 
 def _column_names(spark: SparkSession, schema: str) -> list[str]:
@@ -116,7 +157,7 @@ def without_partitions(archive: DataFrame) -> DataFrame:
 
 def manifest(archive: DataFrame) -> DataFrame:
     """One row per archive file: rows, first and last position, and whether the file has no holes."""
-    files = archive.groupBy("stream", "resource_kind", "span", F.col("_metadata.file_path").alias("file")).agg(
+    files = archive.groupBy("stream", "resource_kind", F.col("_metadata.file_path").alias("file")).agg(
         F.count(F.lit(1)).alias("events"), F.min("timepoint").alias("min_timepoint"), F.max("timepoint").alias("max_timepoint")
     )
     return files.withColumn("difference", F.col("max_timepoint") - F.col("min_timepoint")).withColumn(
@@ -126,13 +167,18 @@ def manifest(archive: DataFrame) -> DataFrame:
 
 def overlapping_parts(files: DataFrame) -> DataFrame:
     """Files of a feed and kind that reach into the next one, by position. One row per file, so windows are small."""
-    from pyspark.sql import Window
-
     by_start = Window.partitionBy("stream", "resource_kind").orderBy("min_timepoint", "max_timepoint")
     next_start = F.lead("min_timepoint").over(by_start)
     return files.withColumn("next_min", next_start).where(F.col("next_min") <= F.col("max_timepoint"))
 
 
+def settled_ranges(reconciled: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Positions that may be deleted, per feed and kind as the buffer has it: NULL and empty kinds were exported under one name."""
+    of = kinds.join(broadcast_if_small(reconciled.where("can_delete").select("stream_path", "resource_kind")), ["stream_path", "resource_kind"], "left_semi")
+    named = F.when(F.col("resource_kind") == NO_KIND, F.array(F.lit(None).cast("string"), F.lit(""), F.lit(NO_KIND))).otherwise(F.array("resource_kind"))
+    return of.select("stream_path", F.explode(named).alias("resource_kind"), F.col("min_timepoint").alias("low"), F.col("max_timepoint").alias("high"))
+
+
 def reconcile(files: DataFrame, buffered: DataFrame) -> DataFrame:
     """Exported against buffered rows per feed and kind; only equal ones may be deleted."""
     exported = files.groupBy(F.col("stream").alias("stream_path"), "resource_kind").agg(F.sum("events").alias("exported"))

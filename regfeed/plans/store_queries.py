@@ -103,7 +103,8 @@ def ndjson_export_roundtrip(v):
 
 @query(
     "ndjson_infer_ingest",
-    """select resource_kind, k as column_name, count(*) as filled from (select resource_kind, unnest(json_keys(line, '$.data')) as k from event_lines) group by all""",
+    """select resource_kind, k as column_name, count(*) as filled from (select resource_kind, line, unnest(json_keys(line, '$.data')) as k from event_lines)
+where json_type(line, '$.data.' || k) <> 'NULL' group by all""",
     ("event_lines",),
 )
 def ndjson_infer_ingest(v):
@@ -289,8 +290,7 @@ def export_twice_one_day(v):
     """Two windows exported on one day, the buffer replaced after each: every row is in the archive or in the buffer, once."""
     rows = v("buffered")
     late = F.col("published_at") >= F.expr(HALF)
-    schema_text = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    path, store = work_path(v.spark, "archive"), Buffer(v.spark, schema_text, work_path(v.spark, "buffer"))
+    path, store = work_path(v.spark, "archive"), _buffer_of(v, rows)
     store.append(rows.where(~late))
     store.export(UPLOADED, path)
     store.append(rows.where(late))
@@ -300,6 +300,62 @@ def export_twice_one_day(v):
     return archived.unionByName(store.read().select(F.col("stream_path").alias("stream"), *columns, F.lit(False).alias("archived")))
 
 
+def _buffer_of(v, rows, name="buffer"):
+    schema_text = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return Buffer(v.spark, schema_text, work_path(v.spark, name))
+
+
+@query(
+    "export_rearrived_row",
+    _sql("""select stream_path as stream, resource_kind, timepoint, event_data, true as archived from eligible
+union all select stream_path, resource_kind, timepoint, event_data, true from eligible qualify timepoint = min(timepoint) over (partition by stream_path)
+union all select stream_path, resource_kind, timepoint, event_data, false from buffered b join cutoffs c using (stream_path) where timepoint >= c.cutoff"""),
+    _B,
+)
+def export_rearrived_row(v):
+    """The first position of every feed comes again after its export: a second run of the same day and cutoff adds it, and takes nothing away."""
+    rows = v("buffered")
+    path, store = work_path(v.spark, "archive"), _buffer_of(v, rows)
+    store.append(rows)
+    store.export(UPLOADED, path)
+    first = rows.groupBy("stream_path").agg(F.min("timepoint").alias("timepoint"))
+    store.append(rows.join(F.broadcast(first), ["stream_path", "timepoint"]))
+    store.export(UPLOADED, path)
+    columns = ("resource_kind", "timepoint", "event_data")
+    archived = export.read_archive(v.spark, path).select("stream", *columns, F.lit(True).alias("archived"))
+    return archived.unionByName(store.read().select(F.col("stream_path").alias("stream"), *columns, F.lit(False).alias("archived")))
+
+
+@query(
+    "buffer_commits",
+    """, parts as (select stream_path, timepoint, published_at, resource_kind, case when part = 1 then event_data else '{"part":' || part || '}' end as event_data, part
+  from buffered, (values (1), (2), (3)) t(part) where part = 3 or (part = 1 and timepoint % 3 <> 0) or (part = 2 and timepoint % 3 <> 1)),
+buffer2 as (select * from parts where part < 3 qualify row_number() over (partition by stream_path, timepoint order by part) = 1),
+days as (select stream_path, cast(published_at as date) as day, min(timepoint) as low, max(timepoint) as high from buffer2 group by all),
+cut as (select stream_path, arg_max(low, high) as cutoff from days group by stream_path)
+select stream_path, timepoint, event_data from buffer2 join cut using (stream_path) where timepoint >= cutoff
+union all select stream_path, timepoint, event_data from parts join cut using (stream_path) where part = 3 and timepoint % 7 = 0 and timepoint < cutoff""",
+    _B,
+)
+def buffer_commits(v):
+    """Two overlapping appends, a third whose job ends before its commit, an export, and positions that come again after it."""
+    rows = v("buffered")
+    store, path = _buffer_of(v, rows), work_path(v.spark, "archive")
+
+    def part(n, keep):
+        return rows.where(keep).withColumn("event_data", F.concat(F.lit('{"part":'), F.lit(n), F.lit("}")))
+
+    at = F.col("timepoint")
+    store.append(rows.where(at % 3 != 0))
+    store.append(part(2, at % 3 != 1))
+    third = part(3, at % 7 == 0)
+    store.table.stage(third, run="third")
+    store.export(UPLOADED, path)
+    store.append(third, run="third")
+    store.append(third, run="third")
+    return store.read().select("stream_path", "timepoint", "event_data")
+
+
 @query(
     "archive_scan_pruned",
     _sql("select stream_path as stream, timepoint, resource_kind from eligible where resource_kind = 'purchase' and stream_path <> 'orders'"),
@@ -312,7 +368,8 @@ def archive_scan_pruned(v):
 
 @query("register_files_lenient", _sql("select timepoint, cast(null as string) as notes from eligible"), _B)
 def register_files_lenient(v):
-    return export.register_lenient(v.spark, [_exported(v).path], "timepoint bigint, notes string")
+    done = _exported(v)
+    return export.register_lenient(v.spark, [f"{done.path}/run={done.attempt}"], "timepoint bigint, notes string")
 
 
 @query("archive_sample_table", _sql("select timepoint, cast(published_at as string) as published_at, event_data from eligible where false"), _B)

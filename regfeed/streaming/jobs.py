@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 
 from regfeed import feeds as feed_names
 from regfeed.operators import buffer, counts, history, sample, schema
-from regfeed.session import tune
+from regfeed.session import tune, work_path
 from regfeed.sources import ndjson
+from regfeed.sources.committed import CommittedTable
 from regfeed.streaming.tables import BatchTable, beside, drain
 
 Batch = Callable[[DataFrame], DataFrame]
 
+# Micro-batches after which the small files of a stored table are joined up.
+COMPACT_EVERY = 100
+
 
 @contextmanager
 def cached(batch: DataFrame) -> Iterator[DataFrame]:
@@ -75,18 +79,22 @@ def kind_counters(events: DataFrame, spark: SparkSession, checkpoint: str | None
 
 
 def dedup(events: DataFrame, key: list[str], order: list[str], spark: SparkSession, checkpoint: str | None = None) -> DataFrame:
-    """First writer wins, inside a micro-batch and against everything stored before it."""
+    """First writer wins, inside a micro-batch and against everything stored before it. ``key``: the columns of feed and position.
+
+    A micro-batch is one commit of the stored table; a repeated one finds its own number there. What a batch reads of the table
+    depends on the positions it spans and not on how much is stored; small files are joined up from time to time.
+    """
     schema_text = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields)
-    table = BatchTable(spark, schema_text, "buffer", beside(checkpoint, "buffer"))
+    path = beside(checkpoint, "buffer") or work_path(spark, "buffer")
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        held = table.read(tune(batch.sparkSession), before=batch_id)
-        with cached(batch) as rows:
-            fresh = buffer.insert_ignore(rows, held, key, order)
-            table.write(fresh.select(*batch.columns), batch_id)
+        table = CommittedTable(tune(batch.sparkSession), schema_text, path, key)
+        table.append(batch, order, f"batch-{batch_id}")
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            table.compact()
 
     drain(events.writeStream.foreachBatch(save), spark, "dedup", checkpoint)
-    return table.read(spark).drop("batch_id")
+    return CommittedTable(spark, schema_text, path, key).read()
 
 
 def dedup_within(events: DataFrame, delay: str, event_time: str = "received") -> DataFrame:

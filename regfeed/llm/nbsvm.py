@@ -6,7 +6,7 @@ by the root of their number, is fitted by dual coordinate descent (Hsieh et al.,
 rows the descent did not see turns margins into scores from 0 to 1.
 
 The model is fitted on the driver from a bounded sample: the ``FIT_ROWS`` labelled rows with the least hash of their id. Only
-their feature numbers are collected. Scoring is one pass over all texts.
+their feature numbers are collected, all of them. Scoring is one pass over all texts.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from regfeed.llm.common import Words, steps
 
 FIT_ROWS = 6_000
-# A text's features past this many, least hash first, are left out while fitting (never while scoring).
-FIT_FEATURES = 4_000
 DIMENSIONS = 1 << 18
 PENALTY, EPOCHS, SEED = 1.0, 12, 7
 CUT = 0.3
@@ -113,19 +111,25 @@ def logistic(margins: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple
     return max(a, 0.0), b
 
 
+def log_count_ratio(sets: list[np.ndarray], labels: np.ndarray, dimensions: int) -> np.ndarray:
+    """For each feature the log of its smoothed share among the texts of class 1 over that among the others."""
+    counts = np.ones((2, dimensions))
+    for s, y in zip(sets, labels, strict=True):
+        counts[int(y > 0)][s] += 1
+    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+
+
 def fit(sets: list[np.ndarray], labels: np.ndarray, dimensions: int = DIMENSIONS, penalty: float = PENALTY, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """``labels``: 1 or -1. With one class only, every score is that class's share, drawn towards a half."""
     good = int((labels > 0).sum())
     if not good or good == len(labels):
         return Model(np.zeros(dimensions, np.float32), 0.0, 1.0, float(np.log((good + 1) / (len(labels) - good + 1))))
-    counts = np.ones((2, dimensions))
-    for s, y in zip(sets, labels, strict=True):
-        counts[int(y > 0)][s] += 1
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    # Every fifth row sees neither the ratios nor the descent: the logistic curve is fitted on those.
     check = np.arange(len(sets)) % 5 == 0
     if min((labels[check] > 0).sum(), (labels[check] < 0).sum(), (labels[~check] > 0).sum(), (labels[~check] < 0).sum()) == 0:
         check = np.zeros(len(sets), bool)
     fitted = np.flatnonzero(~check)
+    ratio = log_count_ratio([sets[i] for i in fitted], labels[fitted], dimensions)
     w, bias = dual_descent([sets[i] for i in fitted], labels[fitted], ratio, penalty, epochs, seed)
     seen = np.flatnonzero(check) if check.any() else fitted
     weights = (w * ratio).astype(np.float32)
@@ -154,8 +158,6 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
             sets = features(batch.column("text"))
-            # Feature numbers are hashes, so the first of a sorted set spread by a multiplier are a fair choice.
-            sets = [s if len(s) <= FIT_FEATURES else np.sort(s[np.argsort((s * np.int32(-1640531535)).view(np.uint32), kind="stable")[:FIT_FEATURES]]) for s in sets]
             data = pa.array([s.astype(np.int32).tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), data], ["id", "label", "features"])
 

@@ -399,6 +399,62 @@ def test_classifier_edges(spark):
     assert nbsvm.classify(docs.limit(0), one).count() == 0
 
 
+def plain_features(text):
+    """Feature numbers by loops over words, in whole numbers modulo 2^64."""
+    top, words = 1 << 64, words_of(text)
+
+    def hashed(x):
+        return int(nbsvm.pd.util.hash_array(np.array([x], object), categorize=False)[0])
+
+    def mixed(x):
+        x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 % top
+        return (x ^ (x >> 32)) * int(nbsvm.MULTIPLIER) % top
+
+    lower = [hashed(w.lower()) for w in words]
+    shape = [hashed(nbsvm.shapes(pa.array([w]))[0].as_py()) for w in words]
+    shape = [1 if k and words[k] == words[k - 1] else s for k, s in enumerate(shape)]
+    out = set()
+    for kind, (base, width) in enumerate(((lower, 1), (lower, 2), (shape, 1), (shape, 2), (shape, 3)), 1):
+        for k in range(len(base) - width + 1):
+            x = kind
+            for b in base[k : k + width]:
+                x = (x * int(nbsvm.MULTIPLIER) + b) % top
+            out.add(mixed(x) >> (64 - 18))
+    return sorted(out)
+
+
+def test_model_against_plain_loops():
+    """Features, ratios and scores, each by plain loops; texts longer than any cap that once was."""
+    rnd = random.Random(8)
+    long = " ".join(f"w{rnd.randrange(9_000)}" for _ in range(12_000))
+    texts = [None, "", " \n ", "a", "Ab ab ab, 12 ab!", "x\ty\nz x y z", long]
+    sets = nbsvm.features(pa.array(texts, pa.string()))
+    assert [s.tolist() for s in sets] == [plain_features(t) for t in texts] and len(sets[-1]) > 15_000
+    labels = np.array([1, -1, 1, -1, 1, -1, 1])
+    ratio = nbsvm.log_count_ratio(sets, labels, nbsvm.DIMENSIONS)
+    good, bad = ({}, {})
+    for s, y in zip(sets, labels, strict=True):
+        for f in s.tolist():
+            (good if y > 0 else bad)[f] = (good if y > 0 else bad).get(f, 0) + 1
+    totals = [nbsvm.DIMENSIONS + sum(c.values()) for c in (good, bad)]
+    for f in set(good) | set(bad) | {0, 77}:
+        assert abs(ratio[f] - math.log((1 + good.get(f, 0)) / totals[0]) + math.log((1 + bad.get(f, 0)) / totals[1])) < 1e-9
+    model = nbsvm.Model(np.arange(nbsvm.DIMENSIONS, dtype=np.float32) % 7 - 3, 0.25, 0.5, -0.1)
+    for s, got in zip(sets, model.scores(sets), strict=True):
+        margin = sum(int(f) % 7 - 3 for f in s) / math.sqrt(max(1, len(s))) + 0.25
+        assert abs(got - 1 / (1 + math.exp(-(0.5 * margin - 0.1)))) < 1e-5
+
+
+def test_curve_is_fitted_on_rows_that_ratios_do_not_see(monkeypatch):
+    seen = {}
+    real = {n: getattr(nbsvm, n) for n in ("log_count_ratio", "logistic")}
+    monkeypatch.setattr(nbsvm, "log_count_ratio", lambda sets, *a: seen.update(ratio=[s.tolist() for s in sets]) or real["log_count_ratio"](sets, *a))
+    monkeypatch.setattr(nbsvm, "logistic", lambda margins, labels: seen.update(curve=len(margins)) or real["logistic"](margins, labels))
+    sets = [np.array([k, 100 + k % 2], np.int32) for k in range(50)]
+    nbsvm.fit(sets, np.where(np.arange(50) % 2, 1, -1), 128)
+    assert seen["curve"] == 10 and seen["ratio"] == [s.tolist() for k, s in enumerate(sets) if k % 5]
+
+
 def test_descent_reaches_the_optimum():
     draw = np.random.default_rng(0)
     rows = [np.flatnonzero(draw.random(12) < 0.4).astype(np.int32) for _ in range(60)]
@@ -445,3 +501,40 @@ def test_pipeline_stages(spark, sf_dir):
     packed = corpus_pipeline.STAGES[4][1](spark, kept, sf_dir)
     assert packed.agg(F.sum("length")).first()[0] > 0
     assert 0 < sizes[3] < sizes[0]
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_mix_takes_each_row_as_often_as_it_is_due(spark):
+    """Rows without an id, one id in two sources, and rows that agree in everything: words taken per source are near the targets."""
+    rnd = random.Random(2)
+    text = lambda n: " ".join(f"w{rnd.randrange(99)}" for _ in range(n))
+    rows = [(k, text(10), "en", "abc"[k % 3], 1) for k in range(90)] + [(None, text(10), "en", "a", 1) for _ in range(20)]
+    rows += [(7, text(10), "en", "a", 1), (7, text(10), "en", "c", 1)] + [(None, "same words all over again", "en", "b", 1)] * 9
+    docs = spark.createDataFrame(rows, DOCUMENTS).withColumn("_key", F.lit(1)).withColumn("positions", F.lit(2))
+    sized = curriculum.word_counts(docs)
+    mixed = curriculum.mix(sized, curriculum.source_targets(sized)).groupBy("source").agg(F.sum(F.col("passes") * F.col("size")).alias("n")).collect()
+    got = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    words = collections.Counter()
+    for r in got:
+        words[r.source] += len(words_of(r.text))
+    assert dict(words) == {r.source: r.n for r in mixed if r.n}
+    assert max(collections.Counter((r.doc_id, r.text, r.source) for r in got).values()) <= 2 * 9
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """NULL and repeated ids, NULL and empty texts, an empty table and clashing columns pass through every stage."""
+    good = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy(F.desc("n_chars")).limit(12).select("doc_id", "text", "lang", "source", "n_chars")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "a", 0), (1, " ", None, None, 1), (1, " ", None, None, 1)], DOCUMENTS)
+    docs = good.unionByName(good.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(good.limit(3)).unionByName(odd)
+    docs = docs.withColumn("score", F.lit("x")).withColumn("kept", F.lit("x")).withColumn("_key", F.lit("x"))
+    for rows in (docs, docs.limit(0)):
+        kept = rows
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            kept = stage(spark, kept, sf_dir)
+            assert kept.columns == corpus_pipeline.COLUMNS
+            kept = spark.createDataFrame(kept.collect(), kept.schema).withColumn("position", F.lit(1)).withColumn("size", F.lit("x"))
+        packed = corpus_pipeline.STAGES[4][1](spark, kept, sf_dir).collect()
+        assert bool(packed) == bool(kept.count())
+        assert not packed or None in {r.doc_id for r in packed}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from regfeed.feeds import FEEDS
 from regfeed.functions import timeutil
-from regfeed.operators import audit, buffer, export, history, liveness, schema
+from regfeed.operators import audit, buffer, export, history, liveness, schema, typed
 from regfeed.plans.nightly import Buffer, run_export
 from regfeed.plans.registry import query
 from regfeed.session import materialise, work_path
@@ -520,6 +520,37 @@ def schema_extend(v):
     return schema.extend(stored, misfits, 2).select("resource_kind", "path", "type", "nodes", "version")
 
 
+@query(
+    "archive_typed_read",
+    """select stream_path, timepoint, resource_kind, data ->> '$.date_of_birth.year' as born, cast(data ->> '$.pages' as double) as pages, data ->> '$.charge_number' as charge_number,
+  cast(data ->> '$.can_file' as boolean) as can_file, data ->> '$.cases[0].number' as case_number, data ->> '$.etag' as etag,
+  cast(json_array_length(data, '$.sic_codes') as integer) as sic_codes
+from payload""",
+    ("payload",),
+)
+def archive_typed_read(v):
+    """Two parts, each typed by the profile of its own events; fields that only the later one has, and types that differ, are widened."""
+    events = v("payload").withColumn("published_at", F.col("ts"))
+    early = F.col("ts") < F.expr("timestamp '2024-01-20 00:00:00'")
+    paths, kinds = [], set()
+    for keep in (early, ~early):
+        part = events.where(keep)
+        types = typed.compile_types(schema.profile(materialise(schema.type_counts(part), "profile")))
+        paths.append(work_path(v.spark, "typed"))
+        kinds |= set(types)
+        typed.write_typed(part, types, paths[-1])
+    data = [
+        F.col("data.date_of_birth.year").cast("string").alias("born"),
+        F.col("data.pages").alias("pages"),
+        F.col("data.charge_number").alias("charge_number"),
+        F.col("data.can_file").alias("can_file"),
+        F.col("data.cases").getItem(0)["number"].cast("string").alias("case_number"),
+        F.col("data.etag").alias("etag"),
+        F.when(F.col("data.sic_codes").isNotNull(), F.size("data.sic_codes")).alias("sic_codes"),
+    ]
+    return reduce(DataFrame.unionByName, [typed.read_typed(v.spark, paths, k).select("stream_path", "timepoint", "resource_kind", *data) for k in sorted(kinds)])
+
+
 @query("schema_json")
 def schema_json(v):
     return schema.json_schemas(schema.profile(schema.type_counts(v("payload"))))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regfeed import feeds as feed_names
@@ -19,8 +19,14 @@ from regfeed.sources.committed import Log, Version
 
 NO_KIND = "__none__"
 PARTITIONS = ("run", "stream", "resource_kind", "uploaded_day")
-# Records per archive file; about 25 MB of JSON at a few hundred bytes an event.
-RECORDS_PER_FILE = 100_000
+# An archive file holds events of at most so many bytes of JSON, and of at most so many records.
+PART_BYTES = 25 * 1024 * 1024
+RECORDS_PER_FILE = 1_000_000
+# What one task writes, about: its rows are sorted and summed together.
+BLOCK_BYTES = 1024**3
+# Most zones that positions are counted in, and the fewest positions of a zone as a power of two.
+ZONES = 150_000
+ZONE_BITS = 8
 
 
 def published_day_summary(buffer: DataFrame) -> DataFrame:
@@ -88,16 +94,66 @@ def run_name(kinds: DataFrame, uploaded_day: dt.date) -> str | None:
     return f"{uploaded_day:%Y%m%d}-{total['n']}-{total['x'] & (1 << 64) - 1:016x}" if total["n"] else None
 
 
-def write_archive(rows: DataFrame, path: str, run: str, uploaded_day: dt.date, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write rows under run= / stream= / resource_kind= / uploaded_day=, in position order. They are not visible before the run is logged.
+def _bytes() -> Column:
+    return F.coalesce(F.octet_length("event_data"), F.lit(0)).cast("bigint")
 
-    Range partitioning on (feed, kind, position) spreads one busy feed over many tasks and keeps the files of a
-    feed and kind apart in position.
+
+def blocks(keyed: DataFrame, kinds: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, Column]:
+    """``stream, resource_kind, _zone, _block``: zones of positions joined up to blocks of about ``block_bytes``, and the zone of a row.
+
+    Zones are as wide as it takes to have no more than ``ZONES`` of them (and two for each feed and kind), whatever the
+    size of the buffer, so the table may be broadcast. Blocks follow from the bytes counted in each zone: a feed that is busy in a few
+    places is cut there.
+    """
+    span = kinds.agg(F.sum(F.col("max_timepoint") - F.col("min_timepoint") + 1).alias("n")).first()["n"] or 0
+    zone = F.shiftright("timepoint", max(ZONE_BITS, (int(span) // ZONES).bit_length()))
+    sizes = keyed.groupBy("stream", "resource_kind", zone.alias("_zone")).agg(F.sum(_bytes()).alias("_bytes"))
+    earlier = Window.partitionBy("stream", "resource_kind").orderBy("_zone").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("_bytes").over(earlier), F.lit(0))
+    return sizes.select("stream", "resource_kind", "_zone", F.floor(start / block_bytes).alias("_block")), zone
+
+
+def into_parts(keyed: DataFrame, kinds: DataFrame, part_bytes: int = PART_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows with ``part``: runs of neighbouring positions of a feed and kind, each of at most ``part_bytes`` of JSON.
+
+    Texts are shuffled once, to blocks. Inside a block a running sum says in which three quarters of ``part_bytes`` a position
+    starts; one that begins there and reaches beyond the whole (it has over a quarter itself) is a part of its own. So a part is too large only if
+    a single position is. All rows of one position share a part.
+    """
+    table, zone = blocks(keyed, kinds, block_bytes)
+    placed = keyed.withColumn("_zone", zone).join(F.broadcast(table), ["stream", "resource_kind", "_zone"], "left")
+    # A position that came after the zones were counted is written as well; the comparison afterwards tells of it.
+    placed = placed.withColumn("_block", F.coalesce("_block", F.lit(-1))).withColumn("_bytes", _bytes())
+    by_position = Window.partitionBy("stream", "resource_kind", "_block").orderBy("timepoint")
+    end = F.sum("_bytes").over(by_position.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    own = F.sum("_bytes").over(by_position.rangeBetween(Window.currentRow, Window.currentRow))
+    step = max(1, part_bytes * 3 // 4)
+    summed = placed.withColumn("_end", end).withColumn("_step", F.floor((F.col("_end") - own) / step))
+    alone = (F.col("_end") - F.col("_step") * step > part_bytes).cast("int")
+    part = F.format_string("b%d-p%d", "_block", F.col("_step") * 2 + alone)
+    return summed.withColumn("part", part).drop("_zone", "_block", "_bytes", "_end", "_step")
+
+
+def write_archive(
+    rows: DataFrame,
+    path: str,
+    run: str,
+    uploaded_day: dt.date,
+    records_per_file: int = RECORDS_PER_FILE,
+    kinds: DataFrame | None = None,
+    part_bytes: int = PART_BYTES,
+    block_bytes: int = BLOCK_BYTES,
+) -> None:
+    """Write rows under run= / stream= / resource_kind= / uploaded_day= / part=, in position order. They are not visible before the run is logged.
+
+    ``kinds`` is ``window_kinds`` of the rows, if it is known. Blocks spread one busy feed over many tasks, and the files of a feed and
+    kind are apart in position.
     """
-    folders_ = PARTITIONS[1:]
+    folders_ = (*PARTITIONS[1:], "part")
+    kinds = window_kinds(rows) if kinds is None else kinds
     keyed = with_kind(rows).withColumnRenamed("stream_path", "stream").withColumn("uploaded_day", F.lit(uploaded_day))
-    ranged = keyed.repartitionByRange("stream", "resource_kind", "timepoint").sortWithinPartitions(*folders_, "timepoint")
-    ranged.write.mode("errorifexists").option("maxRecordsPerFile", records_per_file).partitionBy(*folders_).parquet(f"{path}/run={run}")
+    parts = into_parts(keyed, kinds, part_bytes, block_bytes).sortWithinPartitions(*folders_, "timepoint")
+    parts.write.mode("errorifexists").option("maxRecordsPerFile", records_per_file).partitionBy(*folders_).parquet(f"{path}/run={run}")
 
 
 ARCHIVE_SCHEMA = (
@@ -127,7 +183,7 @@ def read_archive(spark: SparkSession, path: str, schema: str | None = ARCHIVE_SC
     if not paths:
         return spark.createDataFrame([], schema or ARCHIVE_SCHEMA)
     reader = spark.read.option("basePath", path)
-    return (reader.schema(schema) if schema else reader).parquet(*paths)
+    return (reader.schema(schema) if schema else reader).parquet(*paths).drop("part")
 
 
 def unlisted_runs(spark: SparkSession, path: str) -> list[str]:
@@ -165,6 +221,16 @@ def manifest(archive: DataFrame) -> DataFrame:
     )
 
 
+def part_sizes(archive: DataFrame) -> DataFrame:
+    """One row per archive file: its events, positions and bytes of JSON."""
+    return archive.groupBy("stream", "resource_kind", F.col("_metadata.file_path").alias("file")).agg(
+        F.count(F.lit(1)).alias("events"),
+        F.min("timepoint").alias("min_timepoint"),
+        F.max("timepoint").alias("max_timepoint"),
+        F.sum(_bytes()).alias("bytes"),
+    )
+
+
 def overlapping_parts(files: DataFrame) -> DataFrame:
     """Files of a feed and kind that reach into the next one, by position. One row per file, so windows are small."""
     by_start = Window.partitionBy("stream", "resource_kind").orderBy("min_timepoint", "max_timepoint")

@@ -40,6 +40,8 @@ def run_export(
     path: str | None = None,
     feeds: tuple[str, ...] | None = None,
     records_per_file: int = export.RECORDS_PER_FILE,
+    part_bytes: int = export.PART_BYTES,
+    block_bytes: int = export.BLOCK_BYTES,
     source: str | None = None,
     buffer_version: int | None = None,
 ) -> ExportResult:
@@ -59,7 +61,7 @@ def run_export(
     if name is None:
         files = spark.createDataFrame([], export.MANIFEST_SCHEMA)
     else:
-        export.write_archive(window, path, attempt, uploaded_day, records_per_file)
+        export.write_archive(window, path, attempt, uploaded_day, records_per_file, kinds, part_bytes, block_bytes)
         files = materialise(export.manifest(export.read_archive(spark, path, run=attempt)), "manifest")
     reconciled = materialise(export.reconcile(files, kinds.select("stream_path", "resource_kind", "events")), "reconciled")
     visible = name is not None and reconciled.where("not can_delete").isEmpty()

@@ -246,6 +246,29 @@ def export_parts_disjoint(v):
     return marked.agg(F.sum("overlap").alias("overlaps"), F.sum("events").alias("exported"))
 
 
+PART_BYTES = 4_096
+
+
+@query(
+    "export_parts_bytes",
+    _sql(f"""select stream_path as stream, resource_kind, count(*) as events, cast(sum(strlen(event_data)) as bigint) as bytes, cast(0 as bigint) as overlaps, cast(0 as bigint) as too_large,
+  true as filled from eligible group by all"""),
+    _B,
+)
+def export_parts_bytes(v):
+    """Files of at most 4 KB of JSON: what they hold of each kind, how many are too large or reach into the next one, and whether they are no more than three quarters full ones would be."""
+    done = run_export(v("buffered"), UPLOADED, feeds=SOURCES, part_bytes=PART_BYTES)
+    files = materialise(export.part_sizes(export.read_archive(v.spark, done.path)), "sizes")
+    late = export.overlapping_parts(files).groupBy("stream", "resource_kind").agg(F.count(F.lit(1)).alias("overlaps"))
+    sums = files.groupBy("stream", "resource_kind").agg(
+        F.sum("events").alias("events"),
+        F.sum("bytes").alias("bytes"),
+        F.sum(((F.col("bytes") > PART_BYTES) & (F.col("min_timepoint") < F.col("max_timepoint"))).cast("bigint")).alias("too_large"),
+        (F.count(F.lit(1)) <= F.floor(F.sum("bytes") / (PART_BYTES * 3 // 4)) + 1).alias("filled"),
+    )
+    return sums.join(late, ["stream", "resource_kind"], "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(0).cast("bigint")))
+
+
 @query(
     "export_manifest",
     _sql("""select stream_path as stream, resource_kind, count(*) as events, min(timepoint) as min_timepoint, max(timepoint) as max_timepoint from eligible group by all"""),

@@ -2,10 +2,11 @@
 
 Every line of a text that has an anchor word is compared with short templates. The comment that a file begins with, and the whole text of
 a file named like a licence file, are compared with them and with the usual headers and full texts of licences; a header or full text that fits
-counts before any single line. Terms are words and version numbers;
+counts before any single line, and an SPDX identifier before both. Terms are words and version numbers;
 inverse document frequencies are counted over all files for the terms of the templates and of what is compared, so that a verdict
 does not depend on how many files there are. Files named like licence
-files speak for their directory; a file without a licence of its own takes that of its nearest ancestor directory.
+files speak for their directory; a file without a licence of its own takes that of its nearest ancestor directory. A licence file that nothing
+fits ends inheritance there, and a file that declares an identifier not known here inherits none.
 
 Only templates, their terms and directories are joined to files, never files to files. DataFrame expressions throughout.
 """
@@ -64,6 +65,14 @@ LINE_COMMENT = r"^[ \t\r]*(?:$|#|//|--|;|%|\(\*|(?i:rem)\b)"
 ANCHORS = r"(?i)licen[cs]e|copyright|public domain|rights reserved|\bcc[ -]?(by|0)\b|\bspdx\b|\b[al]?gpl\b"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([-._].*)?$"
+# Files that end inheritance even if no template fits them; a notice need not name a licence.
+STATED_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([-._].*)?$"
+SPDX = r"(?i)spdx-licen[cs]e-identifier:[ \t]*([^\n]*)"
+IDENTIFIER = r"[a-z0-9][a-z0-9.+-]*"
+# What joins identifiers, and what may follow the name of a licence.
+OPERATORS = ("and", "or", "with")
+SUFFIX = r"(-only|-or-later|\+)$"
+IDENTIFIERS = tuple(sorted({name for name, _ in (*TEMPLATES, *HEADERS, *TEXTS)} - {"Proprietary"}))
 LEAST = 0.6
 
 
@@ -85,6 +94,16 @@ def leading_comment(text: Column) -> Column:
     return F.when(text.rlike(r"^\s*+(?:#![^\n]*+\n\s*+)?+(?:/\*|<!--|\x22{3}|\x27{3})"), block).when(text.rlike(r"^\s*+(?:#|//|--|;|%|\(\*|(?i:rem)\b)"), head).otherwise("")
 
 
+def declared_licences(files: DataFrame) -> DataFrame:
+    """``path, declared``: files with SPDX lines, and the licence that these name. Of several the first by name, NULL if none is known."""
+    expressions = F.regexp_extract_all("text", F.lit(SPDX), 1)
+    found = F.flatten(F.transform(expressions, lambda x: F.regexp_extract_all(F.lower(x), F.lit(IDENTIFIER), 0)))
+    named = F.transform(F.filter(found, lambda x: ~x.isin(*OPERATORS)), lambda x: F.regexp_replace(x, SUFFIX, ""))
+    known = F.array(*[F.lit(name) for name in IDENTIFIERS])
+    first = F.array_min(F.filter(known, lambda name: F.array_contains(named, F.lower(name))))
+    return files.where(F.col("text").rlike(SPDX)).select("path", first.alias("declared")).groupBy("path").agg(F.min("declared").alias("declared"))
+
+
 def term_weights(files: DataFrame, vocabulary: DataFrame, template_terms: list[str] | None = None) -> DataFrame:
     """``term, idf``, counted over all files, for each term of ``vocabulary`` (column ``term``, may repeat).
 
@@ -107,7 +126,8 @@ def own_licences(files: DataFrame, given: tuple[tuple[str, str], ...] = TEMPLATE
     """``path, own_licence, score``: the template closest to one of the file's statements, if its cosine is ``least`` or more.
 
     ``whole``: leading comments and licence files are compared too, also with ``HEADERS`` and ``TEXTS``, and the files with a term are counted
-    for all terms compared. Otherwise they are for template terms alone and any other term weighs as one that no file has, so that
+    for all terms compared; an SPDX identifier counts before any of these, and a file whose identifiers are not known and that nothing else fits has
+    a row without a licence. Otherwise they are for template terms alone and any other term weighs as one that no file has, so that
     scores fall as files are added.
     """
     spark = files.sparkSession
@@ -115,6 +135,7 @@ def own_licences(files: DataFrame, given: tuple[tuple[str, str], ...] = TEMPLATE
     known = templates(spark, given).withColumn("long", F.lit(False))
     lines = files.select("path", F.posexplode(F.filter(F.split(text, "\n"), lambda x: x.rlike(ANCHORS))).alias("line", "words"))
     if whole:
+        lines = lines.where(~F.col("words").rlike(SPDX))
         notices = templates(spark, HEADERS).withColumn("long", F.lit(True))
         texts = templates(spark, TEXTS).withColumn("long", F.lit(True))
         known = known.unionByName(notices).unionByName(texts)
@@ -148,16 +169,27 @@ def own_licences(files: DataFrame, given: tuple[tuple[str, str], ...] = TEMPLATE
     cosines = dots.join(length, ["path", "line"]).select("path", "licence", "long", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
     order = F.struct(~F.col("long"), -F.col("score"), F.col("licence"))
     best = cosines.where(F.col("score") >= least).groupBy("path").agg(F.min_by("score", order).alias("score"), F.min_by("licence", order).alias("own_licence"))
+    if whole:
+        best = best.join(declared_licences(files.select("path", text.alias("text"))), "path", "full").select(
+            "path",
+            F.coalesce("declared", "own_licence").alias("own_licence"),
+            F.when(F.col("declared").isNotNull(), F.lit(1.0)).otherwise(F.col("score")).alias("score"),
+        )
     return stored(best.select("path", "own_licence", "score"), "own")
 
 
-def directory_licences(own: DataFrame, directories: DataFrame) -> DataFrame:
-    """``directory, from, licence`` for each of ``directories`` (column ``directory``) with a licence file in it or above it.
+def directory_licences(own: DataFrame, paths: DataFrame) -> DataFrame:
+    """``directory, from, licence`` for each directory of ``paths`` (column ``path``) with a licence file in it or above it.
 
-    Of several licence files in one directory the closest to its template counts, then the first by path.
+    Of several licence files in one directory the closest to its template counts, then the first by path. If none of them is recognised the
+    directory has the licence NULL.
     """
-    files = own.where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE)).withColumn("from", _directory(F.col("path")))
-    speaks = files.groupBy("from").agg(F.min_by("own_licence", F.struct(-F.col("score"), "path")).alias("licence"))
+    name = F.element_at(F.split("path", "/"), -1)
+    files = paths.select("path").where(name.rlike(LICENCE_FILE)).distinct().join(own, "path", "left")
+    files = files.where(F.col("own_licence").isNotNull() | name.rlike(STATED_FILE)).withColumn("from", _directory(F.col("path")))
+    order = F.struct(F.col("own_licence").isNull(), -F.col("score"), "path")
+    speaks = files.groupBy("from").agg(F.min_by("own_licence", order).alias("licence"))
+    directories = paths.select(_directory(F.col("path")).alias("directory"))
     parts = F.split("directory", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     ancestors = directories.distinct().select("directory", F.posexplode(above).alias("depth", "from"))
@@ -173,19 +205,21 @@ def _directory(path: Column) -> Column:
 def scan(files: DataFrame) -> DataFrame:
     """``files`` (columns ``path`` and ``text``, others are passed on) with ``licence, inherited_from``.
 
-    ``inherited_from`` is NULL for a licence of the file's own. Directories above the first slash are the root, ''. A NULL path is a
+    ``inherited_from`` is NULL for a licence of the file's own and where there is none. Directories above the first slash are the root, ''. A NULL path is a
     file in the root without a name; rows of one path count as one file. NULL and empty texts have no statement. Columns
     ``licence`` and ``inherited_from`` of the input are replaced.
     """
     given = files.drop("licence", "inherited_from")
     named = given.withColumn("_path", F.coalesce("path", F.lit("")))
     own = own_licences(named.select(F.col("_path").alias("path"), "text"), whole=True)
-    found = directory_licences(own, named.select(_directory(F.col("_path")).alias("directory")))
-    rest = own.select(F.col("path").alias("_path"), "own_licence")
+    found = directory_licences(own, named.select(F.col("_path").alias("path")))
+    rest = own.select(F.col("path").alias("_path"), "own_licence", F.lit(True).alias("_stated"))
     above = found.select(F.col("directory").alias("_directory"), F.col("licence").alias("_licence"), F.col("from").alias("_from"))
     joined = named.join(rest, "_path", "left").withColumn("_directory", _directory(F.col("_path"))).join(above, "_directory", "left")
+    name = F.element_at(F.split("_path", "/"), -1)
+    heir = F.col("_stated").isNull() & ~name.rlike(STATED_FILE) & F.col("_licence").isNotNull()
     return joined.select(
         *given.columns,
-        F.coalesce("own_licence", "_licence").alias("licence"),
-        F.when(F.col("own_licence").isNull(), F.col("_from")).alias("inherited_from"),
+        F.coalesce("own_licence", F.when(heir, F.col("_licence"))).alias("licence"),
+        F.when(heir, F.col("_from")).alias("inherited_from"),
     )

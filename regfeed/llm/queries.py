@@ -232,40 +232,69 @@ def licence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FILES, documents=read(spark, sf_dir, "documents"))
 
 
-LICENCE_SQL = f"""with files as materialized (
+def _licence_sql() -> str:
+    """Production weights, headers, full texts, leading comments and SPDX lines. RE2 has no possessive repeats and needs none."""
+    scan = license_scan
+    plain = lambda pattern: _quoted(pattern.replace("*+", "*").replace("?+", "?"))
+    known = [(n, t, 0) for n, t in scan.TEMPLATES] + [(n, t, 1) for n, t in (*scan.HEADERS, *scan.TEXTS)]
+    head = r"^\s*(?:#![^\n]*\n\s*)?(?:/\*|<!--|\x22{3}|\x27{3})"
+    marks = r"^\s*(?:#|//|--|;|%|\(\*|(?i:rem)\b)"
+    file = "string_split(path, '/')[-1]"
+    term = f"regexp_extract_all(lower(%s), '{scan.TERM}')"
+    named = f"list_transform(flatten(list_transform(regexp_extract_all(text, {_quoted(scan.SPDX)}, 1), lambda x: regexp_extract_all(lower(x), '{scan.IDENTIFIER}'))), lambda x: regexp_replace(x, {_quoted(scan.SUFFIX)}, ''))"
+    return f"""with files as materialized (
   select doc_id, coalesce(text, '') as text, case when regexp_matches(string_split(rtrim(text, chr(10)), chr(10))[-1], '(?i)licen[cs]ed? ')
       then concat_ws('/', source, case when lang = 'en' then null else lang end, 'LICENSE.' || doc_id)
     else concat_ws('/', source, lang, doc_id || '.txt') end as path, regexp_replace(path, '/?[^/]*$', '') as directory
   from documents
-), templates(licence, text) as (values {", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in license_scan.TEMPLATES)}
-), shapes as (select licence, term, count(*) as tf from (select licence, unnest(regexp_extract_all(lower(text), '{license_scan.TERM}')) as term from templates) group by all
-), found as (select unnest(list_distinct(regexp_extract_all(lower(text), '{license_scan.TERM}'))) as term from files
+), templates(licence, text, long) as (values {", ".join(f"({_quoted(n)}, {_quoted(t)}, {k})" for n, t, k in known)}
+), shapes as materialized (
+  select licence, template, long, term, count(*) as tf from (select licence, md5(licence || ' ' || text) as template, long, unnest({term % "text"}) as term from templates) group by all
+), statements as materialized (
+  select path, row_number() over () as line, words from (select path, unnest(string_split(text, chr(10))) as words from files)
+  where regexp_matches(words, {_quoted(scan.ANCHORS)}) and not regexp_matches(words, {_quoted(scan.SPDX)})
+  union all select path, -2, text from files where regexp_matches({file}, {_quoted(scan.LICENCE_FILE)}) and text <> ''
+  union all select path, -1, words from (
+    select path, case when regexp_matches(text, {_quoted(head)}) then regexp_extract(text, {plain(scan.BLOCK_COMMENT)})
+      when regexp_matches(text, {_quoted(marks)}) then array_to_string(rows_[1:coalesce(list_position(list_transform(rows_, lambda x: not regexp_matches(x, {_quoted(scan.LINE_COMMENT)})), true) - 1, len(rows_))], chr(10))
+      else '' end as words
+    from (select path, text, list_filter(string_split(text, chr(10)), lambda x: not starts_with(x, '#!')) as rows_ from files)) where words <> ''
+), tfs as materialized (select path, line, term, count(*) as tf from (select path, line, unnest({term % "words"}) as term from statements) group by all
+), found as (select unnest(list_distinct({term % "text"})) as term from files
 ), idfs as materialized (
   select term, ln((select count(*) + 1.0::double from files) / (count(f.term) + 1.0::double)) + 1.0::double as idf
-  from (select distinct term from shapes) s left join found f using (term) group by term
+  from (select term from shapes union select term from tfs) s left join found f using (term) group by term
 ), weighed as (
-  select licence, term, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by licence)) as template_weight from shapes join idfs using (term)
-), lines as (
-  select path, row_number() over () as line, words from (select path, unnest(string_split(text, chr(10))) as words from files)
-  where regexp_matches(words, {_quoted(license_scan.ANCHORS)})
-), tfs as (select path, line, term, count(*) as tf from (select path, line, unnest(regexp_extract_all(lower(words), '{license_scan.TERM}')) as term from lines) group by all
-), vectors as (
-  select path, line, term, tf * coalesce(idf, (select ln(count(*) + 1.0::double) + 1.0::double from files)) as weight from tfs left join idfs using (term)
+  select licence, template, long, term, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by template)) as template_weight from shapes join idfs using (term)
+), vectors as materialized (select path, line, term, tf * idf as weight from tfs join idfs using (term)
 ), lengths as (select path, line, sqrt(sum(weight * weight)) as norm from vectors group by all
 ), scores as (
-  select path, licence, round(sum(weight * template_weight) / any_value(norm), 6) as score
-  from vectors join weighed using (term) join lengths using (path, line) group by path, line, licence
+  select path, licence, long, round(sum(weight * template_weight) / any_value(norm), 6) as score
+  from vectors join weighed using (term) join lengths using (path, line) where line < 0 or long = 0 group by path, line, licence, template, long
+), met as (
+  select path, arg_min(licence, {{'l': -long, 'a': -score, 'b': licence}}) as met_licence, arg_min(score, {{'l': -long, 'a': -score, 'b': licence}}) as met_score
+  from scores where score >= {scan.LEAST} group by path
+), declared as (
+  select path, min(name) as declared from (select path, {named} as names from files where regexp_matches(text, {_quoted(scan.SPDX)})) d
+  left join (values {", ".join(f"({_quoted(n)})" for n in scan.IDENTIFIERS)}) k(name) on list_contains(d.names, lower(name)) group by path
 ), own as materialized (
-  select path, arg_min(licence, {{'a': -score, 'b': licence}}) as own_licence, max(score) as score from scores where score >= {license_scan.LEAST} group by path
+  select path, coalesce(declared, met_licence) as own_licence, case when declared is not null then 1.0::double else met_score end as score from met full join declared using (path)
 ), speaks as (
-  select regexp_replace(path, '/?[^/]*$', '') as source_directory, arg_min(own_licence, {{'a': -score, 'b': path}}) as licence
-  from own where regexp_matches(string_split(path, '/')[-1], {_quoted(license_scan.LICENCE_FILE)}) group by all
+  select directory as source_directory, arg_min_null(own_licence, {{'n': own_licence is null, 'a': -score, 'b': path}}) as licence
+  from (select distinct path, directory from files) left join own using (path)
+  where regexp_matches({file}, {_quoted(scan.LICENCE_FILE)}) and (own_licence is not null or regexp_matches({file}, {_quoted(scan.STATED_FILE)})) group by all
 ), above as (
   select directory, unnest(range(0, len(parts) + 1)) as depth, array_to_string(parts[1:depth], '/') as source_directory
   from (select distinct directory, string_split(directory, '/') as parts from files)
-), heirs as (select directory, arg_max(licence, depth) as licence, arg_max(source_directory, depth) as source_directory from above join speaks using (source_directory) group by directory)
-select doc_id, f.path, coalesce(own_licence, h.licence) as licence, case when own_licence is null then h.source_directory end as inherited_from
-from files f left join own using (path) left join heirs h using (directory)"""
+), heirs as (
+  select directory, arg_max_null(licence, depth) as licence, arg_max(source_directory, depth) as source_directory from above join speaks using (source_directory) group by directory
+)
+select doc_id, f.path, coalesce(own_licence, case when heir then h.licence end) as licence, case when heir then h.source_directory end as inherited_from
+from (select doc_id, path, directory, path not in (select path from own) and not regexp_matches({file}, {_quoted(scan.STATED_FILE)}) as free from files) f
+left join own using (path) left join heirs h using (directory), lateral (select free and h.licence is not null as heir)"""
+
+
+LICENCE_SQL = _licence_sql()
 
 
 @query("op4_license_scan", LICENCE_SQL)

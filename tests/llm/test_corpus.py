@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from regfeed.llm import curriculum, hyperplane_dedup, license_scan, line_rules, nbsvm, quote_links, t_occurrence
+from regfeed.llm import curriculum, hyperplane_dedup, license_scan, line_rules, nbsvm, queries, quote_links, t_occurrence
 from regfeed.llm.components import components
 
 BLANK = "[\x20\x09-\x0d]+"
@@ -222,6 +223,41 @@ def test_headers_and_licence_files(spark):
     assert {r.path: r.licence for r in license_scan.scan(frame).collect()} == {path: licence for path, (_, licence) in files.items()}
 
 
+def test_spdx_lines_and_unknown_licence_files(spark):
+    files = {
+        "LICENSE": ("Released under the MIT License.", "MIT", None), "a.py": ("x = 1", "MIT", ""), "b.py": ("# SPDX-License-Identifier: Apache-2.0\nx", "Apache-2.0", None),
+        "c.c": ("// SPDX-License-Identifier: MIT\n", "MIT", None), "d.c": ("/* SPDX-License-Identifier: (GPL-2.0-or-later OR BSD-3-Clause) */", "BSD-3-Clause", None),
+        "e.c": ("// SPDX-License-Identifier: BUSL-1.1", None, None), "f.c": ("// SPDX-License-Identifier: Nobody-1\n// Released under the MIT License.", "MIT", None),
+        "g.c": ("// spdx-license-identifier: lgpl-2.1+ with Some-exception", "LGPL-2.1", None), "h.c": ("// SPDX-License-Identifier:", None, None),
+        "i.c": ("// SPDX-License-Identifier: BSD-4-Clause", None, None), "own/LICENSE": ("Every copy costs ten crowns.", None, None), "own/x/a.py": ("x", None, None),
+        "own/x/COPYING": ("", None, None), "own/y/LICENSE.txt": ("SPDX-License-Identifier: CC0-1.0", "CC0-1.0", None), "own/y/z/a.py": ("x", "CC0-1.0", "own/y"),
+        "n/NOTICE": ("Thanks to all.", "MIT", ""), "n/a.py": (None, "MIT", ""), "two/LICENSE-A": ("words", None, None), "two/LICENSE-MIT": ("Released under the MIT License.", "MIT", None),
+        "two/a.py": ("x", "MIT", "two"),
+    }
+    frame = spark.createDataFrame([(path, text) for path, (text, *_) in files.items()], "path string, text string")
+    got = {r.path: (r.licence, r.inherited_from) for r in license_scan.scan(frame).collect()}
+    assert got == {path: (licence, above) for path, (_, licence, above) in files.items()}
+
+
+def test_licence_sql_meets_headers_and_spdx(spark, tmp_path):
+    """The query beside its SQL on documents with headers, full texts, SPDX lines and files that nothing fits."""
+    texts = dict(license_scan.TEXTS)
+    hashed = lambda x: "\n".join(f"# {line}" for line in x.split("\n"))
+    docs = [(texts["MIT"] + "\nThis is licensed so", "en", "a"), (hashed(license_scan.HEADERS[2][1]) + "\nx = 1", "de", "a"), ("# SPDX-License-Identifier: MPL-2.0-only\nx", "de", "a"),
+        ("words\nlicensed to nobody at all", "en", "b"), ("nothing", "fr", "b"), ("// SPDX-License-Identifier: BUSL-1.1", "fr", "a"), ("plain", "fr", "a"), (None, "fr", "a"),
+        ("/* Licensed under the Apache License,\n Version 2.0. */ int x;", "fr", "b"), ("#!/bin/sh\n# All rights\n# reserved.\n\nls", "en", "b"), ("-- not closed\n", "en", "c"), ("", "en", "c"),
+        (texts["GPL-2.0"] + "\nlicensed as above", "es", "c"), ("hola", "es", "c")]
+    rows = [(k, *d, 0) for k, d in enumerate(docs)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(str(x) for x in r) for r in queries.QUERIES["op4_license_scan"](spark, str(tmp_path)).select("doc_id", "path", "licence", "inherited_from").collect())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(tuple(str(x) for x in r) for r in con.execute(queries.ORACLES["op4_license_scan"]).fetchall())
+    assert got == want
+    licences = {int(r[0]): r[2] for r in got}
+    assert (licences[0], licences[2], licences[3], licences[5], licences[8], licences[9]) == ("MIT", "MPL-2.0", "None", "None", "Apache-2.0", "Proprietary")
+
+
 # --- vectors ----------------------------------------------------------------------------------------------------------
 
 

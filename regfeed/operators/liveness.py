@@ -15,9 +15,10 @@ CURSOR_DAYS = 7
 HEARTBEAT_SECONDS = 60
 
 
-def latest_cursor(log: DataFrame, now: Column, feeds: tuple[str, ...] = feed_names.FEEDS, seq: str = "event_id") -> DataFrame:
-    """Position of the event written last per feed, if it is younger than the expiry."""
-    last = rows_at_max(feed_names.known_only(log, feeds), ["stream_path"], "received")
+def latest_cursor(log: DataFrame, now: Column, feeds: tuple[str, ...] | None = None, seq: str = "event_id") -> DataFrame:
+    """Position of the event written last per feed, if it is younger than the expiry: of every feed in the log, or of those named."""
+    named = log.where("stream_path is not null") if feeds is None else feed_names.known_only(log, feeds)
+    last = rows_at_max(named, ["stream_path"], "received")
     latest = last.groupBy("stream_path").agg(F.max_by("timepoint", seq).alias("timepoint"), F.max("received").alias("received"))
     return latest.where(F.col("received") >= now - F.expr(f"interval {CURSOR_DAYS} days"))
 

@@ -13,7 +13,6 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regfeed import feeds as feed_names
 from regfeed.operators import buffer, counts, history, sample, schema
 from regfeed.session import tune, work_path
 from regfeed.sources import ndjson
@@ -122,13 +121,13 @@ def late_rejects(arrivals: DataFrame, spark: SparkSession, checkpoint: str | Non
 
 
 def cursors(events: DataFrame, spark: SparkSession, checkpoint: str | None = None) -> DataFrame:
-    """The event written last per feed, kept over batches; expiry is applied when it is read."""
+    """The event written last per feed, whatever its name, kept over batches; expiry is applied when it is read."""
     cells = BatchTable(spark, "stream_path string, timepoint bigint, received timestamp_ntz, event_id bigint", "cursors", beside(checkpoint, "cursors"))
     columns = ["stream_path", "timepoint", "received", "event_id"]
 
     def save(batch: DataFrame, batch_id: int) -> None:
         before = cells.state_before(tune(batch.sparkSession), batch_id)
-        every = feed_names.known_only(batch.select(*columns).union(before))
+        every = batch.select(*columns).union(before).where("stream_path is not null")
         last = F.max(F.struct("received", "event_id", "timepoint")).alias("c")
         cells.write(every.groupBy("stream_path").agg(last).select("stream_path", "c.timepoint", "c.received", "c.event_id"), batch_id)
 

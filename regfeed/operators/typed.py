@@ -9,6 +9,7 @@ read under their own types and widened to a common one.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -24,7 +25,7 @@ COMMON = ("stream_path", "timepoint", "published_at", "resource_kind")
 
 def _key(path: str, parent: str) -> str:
     name = path[len(parent) + 1 :]
-    return name[1:-1].replace('\\"', '"') if name.startswith('"') else name
+    return re.sub(r"\\(.)", r"\1", name[1:-1]) if name.startswith('"') else name
 
 
 def _struct(fields: Sequence[tuple[str, T.DataType]]) -> T.DataType:

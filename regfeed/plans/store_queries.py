@@ -574,6 +574,29 @@ def archive_typed_read(v):
     return reduce(DataFrame.unionByName, [typed.read_typed(v.spark, paths, k).select("stream_path", "timepoint", "resource_kind", *data) for k in sorted(kinds)])
 
 
-@query("schema_json")
+# The text of each path from the texts one level below it, from the deepest level up.
+_DEEPEST = 8
+_LEVEL = """
+level{0} as (select p.resource_kind, p.path, p.parent, p.name, p.required, '{{"type":' || p.type_text
+    || coalesce(',"properties":{{' || k.members || '}}' || case when k.needed is null then '' else ',"required":[' || k.needed || ']' end, '')
+    || coalesce(',"items":' || i.text, '') || '}}' as text
+  from paths p
+  left join (select resource_kind, parent, string_agg('"' || name || '":' || text, ',' order by name) as members,
+      string_agg('"' || name || '"', ',' order by name) filter (where required) as needed
+    from level{1} where name is not null group by all) k on p.resource_kind = k.resource_kind and p.path = k.parent
+  left join level{1} i on p.resource_kind = i.resource_kind and i.path = p.path || '[]'
+  where p.depth = {0})"""
+SCHEMA_SQL = (
+    f""",
+prof as ({PROFILE_SQL.format("placed")}),
+paths as (select *, regexp_replace(path, '(\\.[^.\\[\\]]+|\\[\\])$', '') as parent, nullif(regexp_extract(path, '\\.([^.\\[\\]]+)$', 1), '') as name,
+  len(regexp_extract_all(path, '\\.[^.\\[\\]]+|\\[\\]')) as depth,
+  case when types like '%,%' then '["' || replace(types, ',', '","') || '"]' else '"' || types || '"' end as type_text from prof),
+level{_DEEPEST} as (select resource_kind, path, parent, name, required, '' as text from paths where depth = {_DEEPEST}),"""
+    + ",".join(_LEVEL.format(d, d + 1) for d in range(_DEEPEST - 1, -1, -1))
+)
+
+
+@query("schema_json", _tree('select resource_kind, text as "schema" from level0', SCHEMA_SQL), _P)
 def schema_json(v):
     return schema.json_schemas(schema.profile(schema.type_counts(v("payload"))))

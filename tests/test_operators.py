@@ -382,3 +382,53 @@ def test_work_folder_follows_the_session(spark):
         assert shared_dir(spark) == configured.rstrip("/")
     else:
         assert shared_dir(spark)
+
+
+def build_schema(values):
+    """JSON Schema of values seen in one place, in plain Python."""
+    kinds = {next(flatten(v))[2] for v in values}
+    if "number" in kinds:
+        kinds.discard("integer")
+    out = {"type": sorted(kinds) if len(kinds) > 1 else kinds.pop()}
+    objects = [v for v in values if isinstance(v, dict)]
+    keys = sorted({k for o in objects for k in o})
+    if keys:
+        out["properties"] = {k: build_schema([o[k] for o in objects if k in o]) for k in keys}
+        needed = [k for k in keys if all(k in o for o in objects)]
+        if needed:
+            out["required"] = needed
+    items = [i for v in values if isinstance(v, list) for i in v]
+    if items:
+        out["items"] = build_schema(items)
+    return out
+
+
+def test_json_schema_of_random_payloads(spark):
+    draw = random.Random(5)
+    names = ["a", "b", "a.b", "c[]", 'q"', "back\\", '\\"', "line\nbreak", "ü", "", "$", " "]
+
+    def value(depth):
+        kind = draw.randrange(8 if depth else 5)
+        if kind < 5:
+            return [1, 2.5, "x", None, True][kind]
+        if kind == 5:
+            return [value(depth - 1) for _ in range(draw.randrange(3))]
+        return {k: value(depth - 1) for k in draw.sample(names, draw.randrange(5))}
+
+    for depth in (2, 10):
+        values = [{"top": value(depth)} for _ in range(60)] + [{"top": [[[[[[[[{"deep": [1, {"x": None}]}]]]]]]]]}]
+        counted = schema.type_counts(payloads(spark, values))
+        text = schema.json_schemas(schema.profile(counted)).first().schema
+        assert json.loads(text) == build_schema(values)
+        # Keys come in one order, so equal profiles have equal texts.
+        assert text == schema.json_schemas(schema.profile(counted.repartition(7))).first().schema
+
+
+def test_schema_walk_of_odd_rows(spark):
+    rows = spark.createDataFrame([(1, None, '{"a":{}}'), (2, "k", None), (3, "k", ""), (4, "k", "[]"), (4, "k", "7")], "event_id int, resource_kind string, data string")
+    got = sorted((r.event_id, r.path, r.type) for r in schema.nodes(rows, ["event_id"]).collect())
+    assert got == [(1, "$", "object"), (1, "$.a", "object"), (4, "$", "array"), (4, "$", "integer")]
+    assert schema.nodes(rows.limit(0), ["event_id"]).count() == 0
+    assert schema.nodes(rows, ["event_id"], pass_depth=0).count() == 4
+    wide = spark.createDataFrame([(1, "k", json.dumps({f"k{i}": [i] * 3 for i in range(3000)}))], "event_id int, resource_kind string, data string")
+    assert schema.type_counts(wide).count() == 6001

@@ -2,9 +2,8 @@
 
 A plain window puts a whole group into one task; with nine feeds, that is a third of the data in one place.
 Here the rows are range-partitioned by (group, order) into buckets of equal size, stored once, and each
-bucket is scanned on its own with the carry of the buckets before it. A group continues into the next bucket
-at most once per bucket boundary, so the carry table has fewer rows than there are buckets and is safe to
-broadcast. NULL is a group of its own; the order must be total for row-exact results.
+bucket is scanned on its own with the carry of the buckets before it. Only the first and the last group of a bucket matter
+for carries, so the tables they come from have at most two rows per bucket and are safe to broadcast. NULL is a group of its own; the order must be total for row-exact results.
 """
 
 from __future__ import annotations
@@ -35,14 +34,21 @@ def into_buckets(df: DataFrame, group: Sequence[str], order: Sequence[str], buck
 
 def _with_carry(bucketed: DataFrame, group: Sequence[str], total: Column, merge) -> DataFrame:
     """Attach, per (bucket, group), the merged total of that group's earlier buckets."""
-    totals = bucketed.groupBy(BUCKET, *group).agg(total.alias("_total"))
-    # One row per (bucket, group): a group has at most as many rows here as there are buckets.
+    keys = [BUCKET, *group]
+    # Only the last group of a bucket can go on in the next one: one row per bucket, so both tables here may be broadcast.
+    last = bucketed.groupBy(BUCKET).agg(F.max(F.struct(*group)).alias("_last"))
+    ends = last.select(F.col(BUCKET).alias(f"_at_{BUCKET}"), *[F.col("_last")[c].alias(f"_at_{c}") for c in group])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in keys])
+    totals = bucketed.join(F.broadcast(ends), same, "left_semi").groupBy(*keys).agg(total.alias("_total"))
+    # A group's rows fill whole buckets up to its last one, so each of its buckets but that one is in the totals.
+    reached = totals.select(*keys, "_total").unionByName(
+        bucketed.groupBy(BUCKET).agg(F.min(F.struct(*group)).alias("_first")).select(BUCKET, *[F.col("_first")[c].alias(c) for c in group], F.lit(None).alias("_total"))
+    )
+    met = reached.groupBy(*keys).agg(F.max("_total").alias("_total"))
     earlier = Window.partitionBy(*group).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carried = merge("_total").over(earlier).alias(CARRY)
     # NULL is a group like any other, so keys are compared null-safely.
-    keys = [BUCKET, *group]
-    carries = totals.select(*keys, carried).where(F.col(CARRY).isNotNull()).select(*[F.col(c).alias(f"_at_{c}") for c in keys], CARRY)
-    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in keys])
+    carries = met.select(*keys, carried).where(F.col(CARRY).isNotNull()).select(*[F.col(c).alias(f"_at_{c}") for c in keys], CARRY)
     return bucketed.join(F.broadcast(carries), same, "left").drop(*[f"_at_{c}" for c in keys])
 
 

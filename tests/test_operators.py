@@ -432,3 +432,33 @@ def test_schema_walk_of_odd_rows(spark):
     assert schema.nodes(rows, ["event_id"], pass_depth=0).count() == 4
     wide = spark.createDataFrame([(1, "k", json.dumps({f"k{i}": [i] * 3 for i in range(3000)}))], "event_id int, resource_kind string, data string")
     assert schema.type_counts(wide).count() == 6001
+
+
+def test_last_value_of_a_repeated_key(spark):
+    line = '{"resource_kind":"k","resource_kind":"m","event":{"timepoint":1,"timepoint":2},"data":{"a":1,"a":"x"}}'
+    rows = spark.createDataFrame([("f", line, None)], "stream_path string, line string, received timestamp_ntz")
+    got = ndjson.bronze(rows).first()
+    assert (got.reject_reason, got.resource_kind, got.timepoint) == (None, "m", 2)
+    found = schema.nodes(spark.createDataFrame([(1, '{"a":1,"a":"x"}')], "event_id int, data string"), ["event_id"])
+    assert sorted((r.path, r.type) for r in found.collect()) == [("$", "object"), ("$.a", "string")]
+    assert (ndjson.envelope(rows).first().resource_kind, ndjson.envelope(rows).first().timepoint) == ("m", 2)
+
+
+def test_carries_of_groups_of_all_lengths(spark):
+    draw = random.Random(9)
+    for lengths in ([40], [1] * 50, [30, 1, 1, 60, 2], [1, 1, 200], []):
+        rows = [(None if g == 0 else f"g{g}", i, draw.randrange(-5, 6)) for g, n in enumerate(lengths) for i in range(n)]
+        draw.shuffle(rows)
+        df = spark.createDataFrame(rows, "g string, i int, v int")
+        want, top = set(), set()
+        for g in {r[0] for r in rows}:
+            sum_, highest = 0, None
+            for _, i, v in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+                top.add((g, i, highest))
+                sum_ += v
+                highest = v if highest is None else max(highest, v)
+                want.add((g, i, sum_))
+        for buckets in (1, 7):
+            assert {(r.g, r.i, r.s) for r in scan.running_total(df, ["g"], ["i"], F.col("v"), "s", buckets=buckets).collect()} == want
+            assert {(r.g, r.i, r.m) for r in scan.max_before(df, ["g"], ["i"], "v", "m", buckets=buckets).collect()} == top
+

@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # The last value of a key that an object has twice counts, as in most JSON readers.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Rows with whole texts: a batch, and what a Python worker makes of it, should stay at some megabytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }

@@ -85,3 +85,42 @@ def st_company_pool(v):
 def st_schema_profile(v):
     done = _live(v("payload"), "event_id", lambda live, checkpoint: jobs.FanOut(v.spark, ("schema",), checkpoint=checkpoint).run(live))
     return schema.profile(done.schema_counts()).drop("parent")
+
+
+@query(
+    "st_cursor_ttl",
+    f"""select stream_path, arg_max(timepoint, (received, event_id)) as timepoint, strftime(max(received), {STAMP}) as received from ev group by stream_path
+having max(received) >= (select max(received) from ev) - interval 60 second""",
+    ("ev",),
+)
+def st_cursor_ttl(v):
+    """Cursors of the feeds heard within a minute of the newest arrival."""
+    cells = _live(v("ev"), "event_id", lambda live, checkpoint: jobs.cursors(live, v.spark, checkpoint, "60 seconds"))
+    return cells.select("stream_path", "timepoint", "received")
+
+
+@query("st_feed_health", ORACLES["feed_health"].replace("as now from raw_lines", "as now from raw_lines where stream_path <> 'charges'"))
+def st_feed_health(v):
+    """Health at the last sign of life; one feed is made to have been silent always."""
+    heard = v("raw_lines").where(F.col("stream_path") != "charges")
+    return _live(heard, "event_id", lambda live, checkpoint: jobs.health(live, v.spark, checkpoint))[0]
+
+
+@query(
+    "st_fanout_all",
+    f"""select 'topic' as part, topic as name, message as value from ({ORACLES["topic_fanout"]})
+union all select 'pool', 'company_number', company_number from ({ORACLES["st_company_pool"]})
+union all select 'schema', resource_kind || ' ' || path, types || ' ' || cast(present as varchar) from ({ORACLES["st_schema_profile"]})""",
+)
+def st_fanout_all(v):
+    """Messages, pool and schema of one job, stopped and started again half-way."""
+    events = numbered(v).select("event_id", "stream_path", "resource_kind", "company_number")
+    events = events.join(v("event_lines").select("event_id", "line"), "event_id").join(v("payload").select("event_id", "data"), "event_id")
+    done = _live(events, "event_id", lambda live, checkpoint: jobs.FanOut(v.spark, pool_size=100, checkpoint=checkpoint).run(live))
+    profile = schema.profile(done.schema_counts())
+    rows = [
+        done.messages().select(F.lit("topic").alias("part"), F.col("topic").alias("name"), F.md5(F.col("value").cast("binary")).alias("value")),
+        done.pooled().select(F.lit("pool"), F.lit("company_number"), "company_number"),
+        profile.select(F.lit("schema"), F.concat_ws(" ", "resource_kind", "path"), F.concat_ws(" ", "types", F.col("present").cast("string"))),
+    ]
+    return rows[0].union(rows[1]).union(rows[2])

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from regfeed.operators import buffer, counts, history, sample, schema
+from regfeed import feeds as feed_names
+from regfeed.operators import buffer, counts, history, liveness, sample, schema
 from regfeed.session import tune, work_path
 from regfeed.sources import ndjson
 from regfeed.sources.committed import CommittedTable
@@ -120,8 +121,12 @@ def late_rejects(arrivals: DataFrame, spark: SparkSession, checkpoint: str | Non
     return out.read(spark).drop("batch_id")
 
 
-def cursors(events: DataFrame, spark: SparkSession, checkpoint: str | None = None) -> DataFrame:
-    """The event written last per feed, whatever its name, kept over batches; expiry is applied when it is read."""
+def cursors(events: DataFrame, spark: SparkSession, checkpoint: str | None = None, ttl: str | None = None) -> DataFrame:
+    """The event written last per feed, whatever its name, kept over batches.
+
+    ``ttl`` (such as ``"7 days"``): cursors that are that much older than the newest arrival leave the table and an event that old does
+    not enter it, so the table grows with the feeds that are alive. The limit only moves on, so results do not depend on batches.
+    """
     cells = BatchTable(spark, "stream_path string, timepoint bigint, received timestamp_ntz, event_id bigint", "cursors", beside(checkpoint, "cursors"))
     columns = ["stream_path", "timepoint", "received", "event_id"]
 
@@ -129,12 +134,50 @@ def cursors(events: DataFrame, spark: SparkSession, checkpoint: str | None = Non
         before = cells.state_before(tune(batch.sparkSession), batch_id)
         every = batch.select(*columns).union(before).where("stream_path is not null")
         last = F.max(F.struct("received", "event_id", "timepoint")).alias("c")
-        cells.write(every.groupBy("stream_path").agg(last).select("stream_path", "c.timepoint", "c.received", "c.event_id"), batch_id)
+        newest = every.groupBy("stream_path").agg(last).select("stream_path", "c.timepoint", "c.received", "c.event_id")
+        if ttl is not None:
+            # One row per feed; the newest of all is never dropped, so the next batch knows the limit too.
+            limit = F.max("received").over(Window.partitionBy()) - F.expr(f"interval {ttl}")
+            newest = newest.withColumn("_limit", limit).where(F.col("received") >= F.col("_limit")).drop("_limit")
+        cells.write(newest, batch_id)
 
     drain(events.writeStream.foreachBatch(save), spark, "cursors", checkpoint)
     return cells.last(spark)
 
 
+def health(
+    lines: DataFrame,
+    spark: SparkSession,
+    checkpoint: str | None = None,
+    feeds: tuple[str, ...] = feed_names.FEEDS,
+    seconds: int = liveness.HEARTBEAT_SECONDS,
+) -> tuple[DataFrame, DataFrame]:
+    """Health of each feed after the last batch, and its changes: (stream_path, healthy, at, batch_id).
+
+    The clock is the newest arrival so far. A feed that has never been heard begins as unhealthy; a change is told in the batch that
+    shows it. State is one row per feed.
+    """
+    beats = BatchTable(spark, "stream_path string, last_seen timestamp_ntz", "beats", beside(checkpoint, "beats"))
+    states = BatchTable(spark, "stream_path string, healthy boolean", "health", beside(checkpoint, "health"))
+    changes = BatchTable(spark, "stream_path string, healthy boolean, at timestamp_ntz", "changes", beside(checkpoint, "changes"))
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        session = tune(batch.sparkSession)
+        heard = liveness.heartbeats(batch).where("stream_path is not null")
+        every = heard.select("stream_path", "last_seen").union(beats.state_before(session, batch_id))
+        beats.write(every.groupBy("stream_path").agg(F.max("last_seen").alias("last_seen")), batch_id)
+        known = beats.state_before(session, batch_id + 1)
+        now = F.lit(known.agg(F.max("last_seen").cast("string")).first()[0]).cast("timestamp_ntz")
+        states.write(liveness.feed_health(known, now, feeds, seconds), batch_id)
+        before = states.state_before(session, batch_id).select("stream_path", F.col("healthy").alias("_was"))
+        both = states.state_before(session, batch_id + 1).join(before, "stream_path", "left")
+        changed = both.where(F.col("healthy") != F.coalesce("_was", F.lit(False)))
+        changes.write(changed.select("stream_path", "healthy", now.alias("at")), batch_id)
+
+    drain(lines.writeStream.foreachBatch(save), spark, "health", checkpoint)
+    return states.last(spark), changes.read(spark).where("batch_id >= 0")
+
+
 TOPIC_SCHEMA = "topic string, value string"
 COUNTS_SCHEMA = "resource_kind string, parent string, path string, type string, nodes bigint"
 
@@ -142,7 +185,8 @@ COUNTS_SCHEMA = "resource_kind string, parent string, path string, type string,
 class FanOut:
     """Everything done with a live event: publish it, pool its company number, learn its schema.
 
-    The micro-batch is cached and used by every part, so it is read and parsed once.
+    The micro-batch is cached and used by every part, so it is read and parsed once. When all parts are written, a marker commits the
+    batch; what is read back is what committed batches wrote, so nobody sees a batch's messages without its schema.
     """
 
     def __init__(
@@ -156,6 +200,7 @@ class FanOut:
         self.topics = BatchTable(spark, TOPIC_SCHEMA, "topics", beside(checkpoint, "topics"))
         self.pool = BatchTable(spark, "company_number string", "pool", beside(checkpoint, "pool"))
         self.schemas = BatchTable(spark, COUNTS_SCHEMA, "schemas", beside(checkpoint, "schemas"))
+        self.commits = BatchTable(spark, "part string", "commits", beside(checkpoint, "commits"))
 
     def save(self, batch: DataFrame, batch_id: int) -> None:
         session = tune(batch.sparkSession)
@@ -167,11 +212,24 @@ class FanOut:
                 self.pool.write(merged.select("company_number"), batch_id)
             if "schema" in self.parts:
                 self.schemas.write(schema.type_counts(rows), batch_id)
+        self.commits.write(session.createDataFrame([(p,) for p in self.parts], "part string"), batch_id)
 
     def run(self, events: DataFrame) -> FanOut:
         drain(events.writeStream.foreachBatch(self.save), self.spark, "fanout", self.checkpoint)
         return self
 
+    def committed(self) -> int:
+        """Number of the newest batch of which every part is written, -1 before the first."""
+        return self.commits.newest(self.spark)
+
+    def messages(self) -> DataFrame:
+        """Published messages of committed batches."""
+        return self.topics.read(self.spark, self.committed() + 1).where("batch_id >= 0").drop("batch_id")
+
+    def pooled(self) -> DataFrame:
+        """The pool as the newest committed batch left it."""
+        return self.pool.state_before(self.spark, self.committed() + 1)
+
     def schema_counts(self) -> DataFrame:
-        """Profile over all batches: counts add up."""
-        return schema.merge_counts(self.schemas.read(self.spark).drop("batch_id"))
+        """Profile over all committed batches: counts add up."""
+        return schema.merge_counts(self.schemas.read(self.spark, self.committed() + 1).drop("batch_id"))

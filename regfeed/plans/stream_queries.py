@@ -90,12 +90,12 @@ def st_schema_profile(v):
 @query(
     "st_cursor_ttl",
     f"""select stream_path, arg_max(timepoint, (received, event_id)) as timepoint, strftime(max(received), {STAMP}) as received from ev group by stream_path
-having max(received) >= (select max(received) from ev) - interval 60 second""",
+having max(received) >= (select max(received) from ev) - interval 20 minute""",
     ("ev",),
 )
 def st_cursor_ttl(v):
-    """Cursors of the feeds heard within a minute of the newest arrival."""
-    cells = _live(v("ev"), "event_id", lambda live, checkpoint: jobs.cursors(live, v.spark, checkpoint, "60 seconds"))
+    """Cursors of the feeds heard within 20 minutes of the newest arrival."""
+    cells = _live(v("ev"), "event_id", lambda live, checkpoint: jobs.cursors(live, v.spark, checkpoint, "20 minutes"))
     return cells.select("stream_path", "timepoint", "received")
 
 

@@ -103,19 +103,12 @@ def ndjson_export_roundtrip(v):
 
 @query(
     "ndjson_infer_ingest",
-    """select resource_kind, k as column_name, count(*) as filled from (select resource_kind, line, unnest(json_keys(line, '$.data')) as k from event_lines)
-where json_type(line, '$.data.' || k) <> 'NULL' group by all""",
+    """select resource_kind, k as column_name, count(*) as filled from (select resource_kind, unnest(json_keys(line, '$.data')) as k from event_lines) group by all""",
     ("event_lines",),
 )
 def ndjson_infer_ingest(v):
-    root = work_path(v.spark, "kinds")
-    v("event_lines").select("resource_kind", F.col("line").alias("value")).write.partitionBy("resource_kind").text(root)
-    tables = []
-    for kind, typed in ndjson.infer_by_kind(v.spark, root).items():
-        payload = typed.select("data.*")
-        filled = payload.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in payload.columns])
-        tables.append(filled.unpivot([], payload.columns, "column_name", "filled").withColumn("resource_kind", F.lit(kind)))
-    return reduce(DataFrame.unionByName, tables)
+    """How often each key of the payload was sent, per kind, from the stored typed tables. A JSON null was sent too."""
+    return ndjson.sent_keys(v.spark, ndjson.ingest(v("event_lines")))
 
 
 # --- cursors and buffer ---------------------------------------------------------------------------------------------

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regfeed.functions.timeutil import normalise_timestamp
+from regfeed.operators import schema
+from regfeed.operators.typed import compile_types
+from regfeed.session import materialise, work_path
 
 ENVELOPE = T.StructType(
     [
@@ -99,12 +103,49 @@ def infer(spark: SparkSession, path: str, sampling_ratio: float = 1.0) -> DataFr
     return spark.read.option("samplingRatio", sampling_ratio).json(path)
 
 
+def record_type(spark: SparkSession, path: str) -> T.DataType:
+    """Type of the records of a folder of JSON lines; text where no record has a field.
 
-def infer_by_kind(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """A typed table for each kind of a folder of JSON lines under resource_kind=; two kinds never share a type."""
-    # Names of folders; the files' text is not read for them.
-    kinds = [r[0] for r in spark.read.text(root).select("resource_kind").distinct().toLocalIterator()]
-    return {str(kind): infer(spark, f"{root}/resource_kind={kind}") for kind in kinds}
+    Spark's reader refuses records that have a key twice, or two that differ by case. Such folders are typed by their profile.
+    """
+    try:
+        types = infer(spark, path).schema
+    except AnalysisException as e:
+        if e.getCondition() != "COLUMN_ALREADY_EXISTS":
+            raise
+        records = spark.read.text(path).select(F.lit("").alias("resource_kind"), "value")
+        return compile_types(schema.profile(schema.type_counts(records, "value")))[""]
+    return types if types.fields else T.StringType()
+
+
+def ingest(lines: DataFrame, text: str = "line", payload: str = "data") -> dict[str | None, DataFrame]:
+    """A stored typed table for each kind, types taken from every record of the kind; two kinds never share a type.
+
+    ``record`` holds the record. ``sent`` names the keys of its payload as they were sent, because types do not tell a JSON null from a
+    missing key and have no column for a key that only ever holds ``{}``.
+    """
+    spark = lines.sparkSession
+    root = work_path(spark, "kinds")
+    # A kind may be any text, the name of a folder may not.
+    folder = F.coalesce(F.md5(F.col("resource_kind").cast("binary")), F.lit("none"))
+    lines.select(folder.alias("kind"), F.col(text).alias("value")).write.partitionBy("kind").text(root)
+    members = T.StructType([T.StructField(payload, T.MapType(T.StringType(), T.StringType()))])
+    tables = {}
+    for kind, name in lines.select("resource_kind", folder).distinct().toLocalIterator():
+        path = f"{root}/kind={name}"
+        given = record_type(spark, path)
+        record = F.col("value") if isinstance(given, T.StringType) else F.from_json("value", given)
+        sent = F.map_keys(F.from_json("value", members)[payload])
+        tables[kind] = materialise(spark.read.text(path).select(record.alias("record"), sent.alias("sent")), "typed")
+    return tables
+
+
+def sent_keys(spark: SparkSession, tables: dict[str | None, DataFrame]) -> DataFrame:
+    """How often each key was sent, per kind, also with a JSON null."""
+    keys = spark.createDataFrame([], "resource_kind string, column_name string")
+    for kind, table in tables.items():
+        keys = keys.unionByName(table.select(F.lit(kind).cast("string").alias("resource_kind"), F.explode("sent").alias("column_name")))
+    return keys.groupBy("resource_kind", "column_name").agg(F.count(F.lit(1)).alias("filled"))
 
 
 def read_all_feeds(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

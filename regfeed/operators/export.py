@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from regfeed import feeds as feed_names
 from regfeed.functions.timeutil import utc_day
 from regfeed.session import broadcast_if_small
-from regfeed.sources import folders
+from regfeed.sources import folders, part_files
 from regfeed.sources.committed import Log, Version
 
 NO_KIND = "__none__"
@@ -24,6 +24,9 @@ PART_BYTES = 25 * 1024 * 1024
 RECORDS_PER_FILE = 1_000_000
 # What one task writes, about: its rows are sorted and summed together.
 BLOCK_BYTES = 1024**3
+# Most parts of a block, about, of a feed and kind whose events have an eighth of a part at most: a file costs a task more than its bytes if
+# there are few of them. Parts of such events are fuller than three quarters by more than the one that each block leaves unfilled.
+BLOCK_PARTS = 256
 # Most zones that positions are counted in, and the fewest positions of a zone as a power of two.
 ZONES = 150_000
 ZONE_BITS = 8
@@ -98,40 +101,46 @@ def _bytes() -> Column:
     return F.coalesce(F.octet_length("event_data"), F.lit(0)).cast("bigint")
 
 
-def blocks(keyed: DataFrame, kinds: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, Column]:
+def blocks(keyed: DataFrame, kinds: DataFrame, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> tuple[DataFrame, Column]:
     """``stream, resource_kind, _zone, _block``: zones of positions joined up to blocks of about ``block_bytes``, and the zone of a row.
 
     Zones are as wide as it takes to have no more than ``ZONES`` of them (and two for each feed and kind), whatever the
     size of the buffer, so the table may be broadcast. Blocks follow from the bytes counted in each zone: a feed that is busy in a few
-    places is cut there.
+    places is cut there. They are smaller if they would hold over ``BLOCK_PARTS`` small parts.
     """
     span = kinds.agg(F.sum(F.col("max_timepoint") - F.col("min_timepoint") + 1).alias("n")).first()["n"] or 0
     zone = F.shiftright("timepoint", max(ZONE_BITS, (int(span) // ZONES).bit_length()))
-    sizes = keyed.groupBy("stream", "resource_kind", zone.alias("_zone")).agg(F.sum(_bytes()).alias("_bytes"))
-    earlier = Window.partitionBy("stream", "resource_kind").orderBy("_zone").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy("stream", "resource_kind", zone.alias("_zone")).agg(F.sum(_bytes()).alias("_bytes"), F.max(_bytes()).alias("_widest"))
+    whole = Window.partitionBy("stream", "resource_kind")
+    earlier = whole.orderBy("_zone").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("_bytes").over(earlier), F.lit(0))
-    return sizes.select("stream", "resource_kind", "_zone", F.floor(start / block_bytes).alias("_block")), zone
+    narrow = F.max("_widest").over(whole) * 8 <= part_bytes
+    each = F.when(narrow, min(block_bytes, part_bytes * BLOCK_PARTS)).otherwise(block_bytes)
+    return sizes.select("stream", "resource_kind", "_zone", F.floor(start / each).alias("_block")), zone
 
 
 def into_parts(keyed: DataFrame, kinds: DataFrame, part_bytes: int = PART_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows with ``part``: runs of neighbouring positions of a feed and kind, each of at most ``part_bytes`` of JSON.
 
-    Texts are shuffled once, to blocks. Inside a block a running sum says in which three quarters of ``part_bytes`` a position
-    starts; one that begins there and reaches beyond the whole (it has over a quarter itself) is a part of its own. So a part is too large only if
-    a single position is. All rows of one position share a part.
+    Texts are shuffled once, to blocks. Inside a block a running sum says in which step a position starts. A step is as much shorter than
+    ``part_bytes`` as the block's widest position is wide, so that what starts in it ends before the part is full; but not shorter than three
+    quarters: a position that begins there and reaches beyond the whole (it has over a quarter itself) is a part of its own. So a part is
+    too large only if a single position is. All rows of one position share a part.
     """
-    table, zone = blocks(keyed, kinds, block_bytes)
+    table, zone = blocks(keyed, kinds, block_bytes, part_bytes)
     placed = keyed.withColumn("_zone", zone).join(F.broadcast(table), ["stream", "resource_kind", "_zone"], "left")
     # A position that came after the zones were counted is written as well; the comparison afterwards tells of it.
     placed = placed.withColumn("_block", F.coalesce("_block", F.lit(-1))).withColumn("_bytes", _bytes())
-    by_position = Window.partitionBy("stream", "resource_kind", "_block").orderBy("timepoint")
+    whole = Window.partitionBy("stream", "resource_kind", "_block")
+    by_position = whole.orderBy("timepoint")
     end = F.sum("_bytes").over(by_position.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     own = F.sum("_bytes").over(by_position.rangeBetween(Window.currentRow, Window.currentRow))
-    step = max(1, part_bytes * 3 // 4)
-    summed = placed.withColumn("_end", end).withColumn("_step", F.floor((F.col("_end") - own) / step))
-    alone = (F.col("_end") - F.col("_step") * step > part_bytes).cast("int")
+    summed = placed.withColumn("_end", end).withColumn("_own", own).withColumn("_widest", F.max("_own").over(whole))
+    size = F.greatest(F.lit(max(1, part_bytes * 3 // 4)), F.lit(part_bytes) - F.col("_widest"))
+    summed = summed.withColumn("_size", size).withColumn("_step", F.floor((F.col("_end") - F.col("_own")) / F.col("_size")))
+    alone = (F.col("_end") - F.col("_step") * F.col("_size") > part_bytes).cast("int")
     part = F.format_string("b%d-p%d", "_block", F.col("_step") * 2 + alone)
-    return summed.withColumn("part", part).drop("_zone", "_block", "_bytes", "_end", "_step")
+    return summed.withColumn("part", part).drop("_zone", "_block", "_bytes", "_end", "_own", "_widest", "_size", "_step")
 
 
 def write_archive(
@@ -147,13 +156,17 @@ def write_archive(
     """Write rows under run= / stream= / resource_kind= / uploaded_day= / part=, in position order. They are not visible before the run is logged.
 
     ``kinds`` is ``window_kinds`` of the rows, if it is known. Blocks spread one busy feed over many tasks, and the files of a feed and
-    kind are apart in position.
+    kind are apart in position. In a local or mounted file system a folder part= holds the files of a block; in others, where only Spark
+    writes, each part has a folder.
     """
     folders_ = (*PARTITIONS[1:], "part")
     kinds = window_kinds(rows) if kinds is None else kinds
     keyed = with_kind(rows).withColumnRenamed("stream_path", "stream").withColumn("uploaded_day", F.lit(uploaded_day))
     parts = into_parts(keyed, kinds, part_bytes, block_bytes).sortWithinPartitions(*folders_, "timepoint")
-    parts.write.mode("errorifexists").option("maxRecordsPerFile", records_per_file).partitionBy(*folders_).parquet(f"{path}/run={run}")
+    if part_files.can_write(parts, f"{path}/run={run}"):
+        part_files.write(parts, f"{path}/run={run}", folders_[:-1], records_per_file)
+    else:
+        parts.write.mode("errorifexists").option("maxRecordsPerFile", records_per_file).partitionBy(*folders_).parquet(f"{path}/run={run}")
 
 
 ARCHIVE_SCHEMA = (

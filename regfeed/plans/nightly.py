@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regfeed.operators import export
-from regfeed.session import materialise, work_path
+from regfeed.session import many_files, materialise, work_path
 from regfeed.sources import folders
 from regfeed.sources.committed import CommittedTable
 
@@ -62,7 +62,8 @@ def run_export(
         files = spark.createDataFrame([], export.MANIFEST_SCHEMA)
     else:
         export.write_archive(window, path, attempt, uploaded_day, records_per_file, kinds, part_bytes, block_bytes)
-        files = materialise(export.manifest(export.read_archive(spark, path, run=attempt)), "manifest")
+        with many_files(spark):
+            files = materialise(export.manifest(export.read_archive(spark, path, run=attempt)), "manifest")
     reconciled = materialise(export.reconcile(files, kinds.select("stream_path", "resource_kind", "events")), "reconciled")
     visible = name is not None and reconciled.where("not can_delete").isEmpty()
     if visible:

@@ -13,7 +13,7 @@ from regfeed.functions import timeutil
 from regfeed.operators import audit, buffer, export, history, liveness, schema, typed
 from regfeed.plans.nightly import Buffer, run_export
 from regfeed.plans.registry import query
-from regfeed.session import materialise, work_path
+from regfeed.session import many_files, materialise, work_path
 from regfeed.sources import chunks, cursors, ndjson
 
 DAY = "'%Y-%m-%d'"
@@ -251,7 +251,8 @@ PART_BYTES = 4_096
 def export_parts_bytes(v):
     """Files of at most 4 KB of JSON: what they hold of each kind, how many are too large or reach into the next one, and whether they are no more than three quarters full ones would be."""
     done = run_export(v("buffered"), UPLOADED, feeds=SOURCES, part_bytes=PART_BYTES)
-    files = materialise(export.part_sizes(export.read_archive(v.spark, done.path)), "sizes")
+    with many_files(v.spark):
+        files = materialise(export.part_sizes(export.read_archive(v.spark, done.path)), "sizes")
     late = export.overlapping_parts(files).groupBy("stream", "resource_kind").agg(F.count(F.lit(1)).alias("overlaps"))
     sums = files.groupBy("stream", "resource_kind").agg(
         F.sum("events").alias("events"),

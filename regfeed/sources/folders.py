@@ -25,3 +25,10 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder with all that is in it."""
     system, where = _at(spark, path)
     system.delete(where, True)
+
+
+def file_path(spark: SparkSession, path: str) -> str | None:
+    """The path as Python opens it, if it is in a local or mounted file system."""
+    system, where = _at(spark, path)
+    uri = system.makeQualified(where).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
